@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, mixing, token_counts
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +29,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,33 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g ON d.t = g.t
 """
 
+OP3_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, w FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 19], ' ')) AS h FROM starts),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS nth FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM ranked WHERE nth > 1),
+units AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM words),
+kept AS (
+  SELECT u.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY u.pos) FILTER (g.pos IS NULL) AS kept
+  FROM units u LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.pos = g.pos GROUP BY u.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+OP7_SQL = r"""
+WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS pos, l FROM lines WHERE len(l) >= 3),
+windows AS (SELECT doc_id, pos, array_to_string(l[pos:pos + 2], chr(10)) AS h FROM starts WHERE regexp_matches(array_to_string(l[pos:pos + 2], ''), '[^\x20\x09-\x0D]')),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS nth FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 3)) AS pos FROM ranked WHERE nth > 1),
+units AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM lines),
+kept AS (
+  SELECT u.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(line, chr(10) ORDER BY u.pos) FILTER (g.pos IS NULL) AS kept
+  FROM units u LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.pos = g.pos GROUP BY u.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM kept
+"""
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce('s' || source, 't') AS queue,
@@ -78,4 +113,4 @@ FROM queued q LEFT JOIN took t ON q.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL, "op6_mixing": OP6_SQL}

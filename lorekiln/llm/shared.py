@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than the six ASCII white-space characters.
@@ -140,3 +140,26 @@ def rolling(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     for k, c in enumerate(odd_numbers(width, seed)):
         out += mixed(words[k : k + n] ^ c) * c
     return mixed(out)
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """uid (long), doc_id, text: rows under a unique number that rises with doc_id.
+
+    Usually that is doc_id itself. Where doc_ids are null or repeat, rows are numbered in the
+    order of doc_id (null last) and text: ranges of the order are written, counted and offset.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
+    if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty() and dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return rows.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    ranged = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered-ranges")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    placed = ranged.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return written(placed.select((F.col("__before") + within).cast("long").alias("uid"), "doc_id", "text"), "numbered")
+
+
+def text_bytes(rows: DataFrame) -> int:
+    """UTF-8 bytes of all texts; sizes of groups that go to one task are set by it."""
+    return int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
