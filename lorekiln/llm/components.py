@@ -1,0 +1,27 @@
+"""Connected components of an edge table, by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import written
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """uid, label for each end of an edge (a, b); the label is the smallest uid that can be reached.
+
+    Every round each node takes the smallest label among its neighbours', then that label's own
+    label, so paths of labels halve. Rounds are written tables: a lost executor costs a round's
+    work at most. Neighbours are never gathered; minima are combined before they are shuffled.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.col("uid"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels, both["a"] == labels["uid"]).groupBy(F.col("b").alias("uid")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "uid").select("uid", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("uid").alias("label"), F.col("label").alias("further"))
+        moved = written(lower.join(jump, "label", "left").select("uid", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        labels = moved.select("uid", "label")
+        if moved.where("label <> was").isEmpty():
+            return labels

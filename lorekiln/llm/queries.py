@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, substring_dedup, token_counts
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, substring_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +72,27 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS pos, w FROM words WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(w[pos:pos + 2], ' ')) AS h FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sets a JOIN sets b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * shared >= 90 * (s.n + t.n - shared)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached AS (
+  SELECT x, y FROM both_ways
+  UNION
+  SELECT r.x, b.y FROM reached r JOIN both_ways b ON r.y = b.x),
+least AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN least l ON l.x = w.doc_id
+"""
+
 OP7_SQL = r"""
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS pos, l FROM lines WHERE len(l) >= 3),
@@ -113,4 +138,4 @@ FROM queued q LEFT JOIN took t ON q.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL, "op4_ngram_join": OP4_SQL, "op6_mixing": OP6_SQL}
