@@ -30,7 +30,7 @@ from .shared import odd_numbers
 
 #: Labelled rows of either class at most that the model is fitted on.
 SAMPLE = 3_000
-PLACES = 20_000
+PLACES = 1_500
 FOLDS, HELD_OUT, LEAST = 4, 2, 0.3
 SHORTEST, LONGEST = 3, 6
 SLOTS = 1 << 20
