@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path, release_shuffles, remove, shared_dir, written
+
+__all__ = ["new_path", "release_shuffles", "remove", "shared_dir", "written"]
+
 #: A word is a longest run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,59 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_KEYS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where it is unset (tests, a single machine) is a temporary folder made and set.
-    """
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = sc.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="lorekiln-")
-        sc.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lorekiln/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_at_exit, spark, path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    Every executor can read the files, so none of them is lost with an executor. They
-    go when the session's Python process ends.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_of(column: str = "text") -> Column:
     """The whole text, null as empty."""
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
@@ -132,14 +78,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(words: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """A hash for each run of ``width`` consecutive entries; shorter input gives none."""
+    """A hash for each run of ``width`` consecutive entries; shorter input gives none.
+
+    Runs are put together from halves, so the work grows with the logarithm of the width.
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k, c in enumerate(odd_numbers(width, seed)):
-        out += mixed(words[k : k + n] ^ c) * c
-    return mixed(out)
+    a, b, c = odd_numbers(3, seed * 1009 + width)
+    if width == 1:
+        return mixed(words * a + c)
+    half = rolling(words, width // 2, seed)
+    out = mixed(half[:n] * a + half[width // 2 : width // 2 + n] * b + c)
+    return mixed(out * b + words[width - 1 :] * a) if width % 2 else out
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import PACKED, bucket_count, covered, in_batches, later_windows, pack, places_of, resolved, windows_of
+from .sequences import COLUMNS, PACKED, bucket_count, covered, in_batches, later_windows, pack, places_of, resolved, windows_of
 from .shared import WordHashes, numbered, release_shuffles, text_bytes, written
 
 WINDOW = 20
@@ -41,7 +41,7 @@ def anchors(rows: DataFrame, block: int, buckets: int) -> DataFrame:
         for uids, units, _ in in_batches(batches, _words()):
             order = np.argsort(uids, kind="stable")
             key, doc, place = windows_of([units[i] for i in order], block, 10)
-            yield pd.DataFrame(list(pack(uids[order], doc, place, key, None, place % block == 0, buckets, True)), columns=["bucket", "direct", "docs", "counts", "hashes", "places", "blocks"])
+            yield pd.DataFrame(list(pack(uids[order], doc, place, key, None, place % block == 0, buckets, True)), columns=COLUMNS)
 
     return resolved(rows.select("uid", "text").mapInPandas(part, PACKED), False)
 
@@ -55,18 +55,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     buckets = bucket_count(text_bytes(rows))
     found = written(anchors(rows, block, buckets), "substring-anchors")
     release_shuffles(spark)
-    by_document = found.groupBy("uid").agg(F.collect_list("places").alias("anchors"))
-    near = rows.select("uid", "text").join(by_document, "uid")
+    near = rows.select("uid", "text").join(found.withColumnRenamed("places", "anchors").hint("merge"), "uid")
     later = written(later_windows(near, _words, window, buckets, "anchors", block), "substring-later")
     release_shuffles(spark)
-    starts = later.groupBy("uid").agg(F.collect_list("places").alias("starts"))
+    starts = later.withColumnRenamed("places", "starts")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in batches:
             out = []
-            for text, lists in zip(group["text"], group["starts"], strict=True):
+            for text, packed in zip(group["text"], group["starts"], strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                gone = covered(places_of(lists), window, len(words))
+                gone = covered(places_of(packed), window, len(words))
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                 kept = b" ".join(words) if not len(edges) else b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
                 out.append((len(words), int(gone.sum()), edges.reshape(-1, 2).tolist(), kept.decode("utf-8", "surrogatepass")))
@@ -75,7 +74,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield made
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.join(starts, "uid", "left").select("doc_id", "text", "starts").mapInPandas(part, f"doc_id {kind}, n_words long, n_removed long, spans array<array<long>>, kept string")
+    return rows.join(starts.hint("merge"), "uid", "left").select("doc_id", "text", "starts").mapInPandas(part, f"doc_id {kind}, n_words long, n_removed long, spans array<array<long>>, kept string")
 
 
 def report(docs: DataFrame) -> DataFrame:
