@@ -46,21 +46,21 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
 
     later = written(later_windows(rows, _lines, window, bucket_count(text_bytes(rows), 64 << 20), skip=blank), "line-later")
     release_shuffles(docs.sparkSession)
-    starts = later.groupBy("uid").agg(F.collect_list("places").alias("starts"))
+    starts = later.withColumnRenamed("places", "starts")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in batches:
             out = []
-            for text, lists in zip(group["text"], group["starts"], strict=True):
+            for text, packed in zip(group["text"], group["starts"], strict=True):
                 lines = (text or "").split("\n")
-                gone = covered(places_of(lists), window, len(lines))
+                gone = covered(places_of(packed), window, len(lines))
                 out.append((len(lines), int(gone.sum()), "\n".join(x for x, y in zip(lines, gone.tolist(), strict=True) if not y)))
             made = pd.DataFrame(out, columns=["n_lines", "n_removed", "kept"])
             made.insert(0, "doc_id", group["doc_id"].array)
             yield made
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.join(starts, "uid", "left").select("doc_id", "text", "starts").mapInPandas(part, f"doc_id {kind}, n_lines long, n_removed long, kept string")
+    return rows.join(starts.hint("merge"), "uid", "left").select("doc_id", "text", "starts").mapInPandas(part, f"doc_id {kind}, n_lines long, n_removed long, kept string")
 
 
 def report(docs: DataFrame) -> DataFrame:
