@@ -19,6 +19,8 @@ doc_id and text are one document and get equal rows. An empty table gives an emp
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +52,20 @@ def with_fingerprint(rows: DataFrame, text: Column, name: str, width: int = SHIN
     step = step.withColumn("__d", F.filter("__s", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col("__s"), i - 1)))))
     low = F.lit((1 << BITS) - 1)
     full = lambda x: x.bitwiseAND(F.lit(_LOW)) != F.lit(_LOW)
-    step = step.withColumn("__f", F.filter("__d", full))
+    step = step.withColumn("__f", F.filter("__d", full)).withColumn("__e", F.transform("__d", lambda x: F.when(full(x), x.bitwiseAND(low))))
 
     def borrowed(i: Column) -> Column:
-        drawn = [F.get(F.col("__d"), F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
+        drawn = [F.get(F.col("__e"), F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
         rest = F.array_min(F.transform("__f", lambda x: F.struct(F.xxhash64(i, bin_of(x)).alias("rank"), x.bitwiseAND(low).alias("low"))))
-        return F.coalesce(*[F.when(full(x), x.bitwiseAND(low)) for x in drawn], rest["low"])
+        return F.coalesce(*drawn, rest["low"])
 
-    step = step.withColumn("__v", F.transform("__d", lambda x, i: F.when(full(x), x.bitwiseAND(low)).otherwise(borrowed(i))))
-    pack = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)),
-        lambda g: F.aggregate(F.slice("__v", g * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("long"), lambda sum_, v: F.shiftleft(sum_, BITS).bitwiseOR(v)),
-    )
+    step = step.withColumn("__v", F.transform("__e", lambda x, i: F.coalesce(x, borrowed(i))))
+
+    def packed(g: Column) -> Column:
+        parts = [F.shiftleft(F.get(F.col("__v"), g * _PER_LONG + k), BITS * (_PER_LONG - 1 - k)) for k in range(_PER_LONG)]
+        return reduce(Column.bitwiseOR, parts)
+
+    pack = F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)), packed)
     step = step.withColumn(name, F.when(F.col("__n") > 0, pack).otherwise(F.array().cast("array<bigint>")))
     return step.select(*columns, name)
 
