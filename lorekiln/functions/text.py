@@ -129,13 +129,10 @@ def excerpt(body: Column | str, most: int = 240) -> Column:
 
 
 def _cut_bytes(text: Column, most: int) -> Column:
-    """The longest prefix of whole characters with at most ``most`` bytes: found by halving, unrolled."""
-    low = F.least(F.lit(most // 4), F.length(text))
-    step = 1 << (most.bit_length() - 1)
-    while step:
-        low = F.when((low + step <= F.length(text)) & (F.octet_length(F.substr(text, F.lit(1), low + step)) <= most), low + step).otherwise(low)
-        step //= 2
-    return F.substr(text, F.lit(1), low)
+    """The longest prefix of whole characters with at most ``most`` bytes; most texts need no search for it."""
+    head = F.substring(text, 1, most)
+    fits = F.filter(F.sequence(F.lit(most // 4), F.length(head)), lambda n: F.octet_length(F.substr(head, F.lit(1), n)) <= most)
+    return F.when(F.octet_length(head) <= most, head).otherwise(F.substr(head, F.lit(1), F.array_max(fits)))
 
 
 def chunk_text(title: Column, headings: Column, sources: Column, snippet: Column) -> Column:

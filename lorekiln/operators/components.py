@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with pointer jumping."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """uid, parent with every parent a root; parents are never larger than their nodes. Paths halve with each round."""
+    while True:
+        above = parents.select(F.col("uid").alias("parent"), F.col("parent").alias("next"))
+        moved = written(parents.join(above, "parent").select("uid", "parent", "next"), "roots")
+        parents = moved.select("uid", F.col("next").alias("parent"))
+        if moved.where("next <> parent").isEmpty():
+            return parents
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """uid, label for each end of an edge (a, b); the label is the smallest uid that can be reached.
 
-    Every round each node takes the smallest label among its neighbours', then that label's own
-    label, so paths of labels halve. Rounds are written tables: a lost executor costs a round's
-    work at most. Neighbours are never gathered; minima are combined before they are shuffled.
+    Every round each node points to the smallest of its neighbours and itself, the trees that result
+    are contracted to their roots, and only edges between different roots go on. Minima are
+    combined before they are shuffled and neighbours never gathered. Rounds are written tables, so a lost
+    executor costs a round's work at most.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.col("uid"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["a"] == labels["uid"]).groupBy(F.col("b").alias("uid")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "uid").select("uid", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("uid").alias("label"), F.col("label").alias("further"))
-        moved = written(lower.join(jump, "label", "left").select("uid", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = moved.select("uid", "label")
-        if moved.where("label <> was").isEmpty():
-            return labels
+    pairs = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    ends = edges.select(F.col("a").alias("uid")).union(edges.select("b")).distinct()
+    labels = written(ends.select("uid", F.col("uid").alias("label")), "labels")
+    while not pairs.isEmpty():
+        down = pairs.groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("parent"))
+        tops = pairs.select(F.col("a").alias("uid")).distinct().select("uid", F.col("uid").alias("parent"))
+        roots = _roots(written(down.unionByName(tops).groupBy("uid").agg(F.min("parent").alias("parent")), "parents"))
+        to = lambda name: roots.select(F.col("uid").alias(name), F.col("parent").alias(f"root_{name}"))
+        far = pairs.join(to("a"), "a").join(to("b"), "b").where("root_a <> root_b")
+        pairs = written(far.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
+        labels = written(labels.join(to("label"), "label", "left").select("uid", F.coalesce("root_label", "label").alias("label")), "labels")
+    return labels

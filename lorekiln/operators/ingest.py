@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc
+from ..sources.tables import written
 
 
 def manifest(files: DataFrame, workspace: str) -> DataFrame:
@@ -68,7 +69,7 @@ def resolve_merges(registry: DataFrame, hops: int = 16) -> DataFrame:
         joined = open_.join(step, "at")
         ended = joined.where("merged_into IS NULL").select("id", F.col("at").alias("target"), "hops")
         done = ended if done is None else done.unionByName(ended)
-        open_ = joined.where("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("at"), (F.col("hops") + 1).alias("hops"))
+        open_ = written(joined.where("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("at"), (F.col("hops") + 1).alias("hops")), "merges")
         if n == hops or open_.isEmpty():
             break
     return done.unionByName(open_.select("id", F.lit(None).cast("string").alias("target"), "hops"))

@@ -229,11 +229,15 @@ def incremental_outcomes(t: Tables) -> DataFrame:
     own = lines.select(F.col("o_custkey").alias("page_id"), F.col("l_suppkey").alias("source_id"), F.lit(None).cast("string").alias("section_id")).distinct()
     gaining = t.supplier.where("s_acctbal < 500").select(F.col("s_suppkey").alias("source_id"))
     small = t.part.where("p_size > 4 AND p_size <= 6").select(F.col("p_partkey").alias("node"))
-    before = gaining.limit(1).crossJoin(small).select("source_id", F.lit(None).cast("string").alias("section_id"), "node")
-    after = gaining.select("source_id", F.lit(None).cast("string").alias("section_id"), (F.col("source_id") + 1_000_000).alias("node"))
+    # small parts are what a source (-1), which no page cites, supported before
+    nowhere = F.lit(None).cast("string").alias("section_id")
+    before = small.select(F.lit(-1).cast("long").alias("source_id"), nowhere, "node")
+    after = gaining.select("source_id", nowhere, (F.col("source_id") + 1_000_000).alias("node"))
+    after = after.unionByName(t.part.where("p_size > 6").agg(F.max("p_partkey").alias("node")).select(F.lit(-1).cast("long").alias("source_id"), nowhere, "node"))
+    modified = gaining.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("source_id")))
     dirs = t.spark.createDataFrame([], "node long, dir string, version string")
     known = t.part.select(F.col("p_partkey").alias("node"))
-    changed = V.map_change(pages, own, gaining, before, after, known, t.part.where("p_size <= 4").select(F.col("p_partkey").alias("node")), dirs)
+    changed = V.map_change(pages, own, modified, before, after, known, t.part.where("p_size <= 4").select(F.col("p_partkey").alias("node")), dirs)
     return changed.select("page_id", "outcome", F.size("refs").cast("long").alias("n_refs"), "trigger")
 
 

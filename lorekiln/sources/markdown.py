@@ -195,7 +195,8 @@ def segments(content: str, most_tokens: int) -> list[tuple[int, int]]:
     """Byte ranges of runs of blocks (parted by blank lines) within a budget. A block over it is left whole."""
     if estimate_tokens(content) <= most_tokens:
         return [(0, len(content.encode()))]
-    blocks = [(m.start(), m.end()) for m in re.finditer(r"(?:(?!\n\n)[\s\S])+", content)]
+    gaps = [m.span() for m in re.finditer("\n\n", content)]
+    blocks = [(a, b) for a, b in zip([0, *[e for _, e in gaps]], [*[s for s, _ in gaps], len(content)], strict=True) if b > a]
     runs: list[list[int]] = []
     for start, end in blocks:
         if runs and estimate_tokens(content[runs[-1][0] : end]) <= most_tokens:

@@ -39,10 +39,11 @@ def first_requests(requests: DataFrame, key: str, ts: str, horizon: str = "1 day
     return requests.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def budgeted(requests: DataFrame, seconds: int = 60, most: int = 120, evict: int = 300) -> DataFrame:
+def budgeted(requests: DataFrame, seconds: int = 60, most: int = 120, evict: int = 300, late: str = "5 minutes") -> DataFrame:
     """caller, ts, event_id, refused: fixed windows that begin with a caller's first request.
 
-    A caller's state is a window's start and count, and goes when it has been idle for ``evict`` seconds.
+    A caller's state is a window's start and count, and goes when the watermark is ``evict`` seconds past
+    the caller's last request.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,20 +51,22 @@ def budgeted(requests: DataFrame, seconds: int = 60, most: int = 120, evict: int
             state.remove()
             return
         start, n = state.get if state.exists else (None, 0)
+        at = 0
         for rows in batches:
             rows = rows.sort_values(["ts", "event_id"])
             refused = []
             for ts in rows["ts"]:
-                at = int(ts.value // 1000)
+                at = int(ts.timestamp() * 1_000_000)
                 if start is None or at - start >= seconds * 1_000_000:
                     start, n = at, 0
                 n += 1
                 refused.append(n > most)
             yield pd.DataFrame({"caller": rows["caller"], "ts": rows["ts"], "event_id": rows["event_id"], "refused": refused})
         state.update((start, n))
-        state.setTimeoutDuration(evict * 1000)
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + evict * 1000)
 
-    return requests.groupBy("caller").applyInPandasWithState(update, "caller long, ts timestamp, event_id long, refused boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = requests.withWatermark("ts", late).groupBy("caller")
+    return keyed.applyInPandasWithState(update, "caller long, ts timestamp, event_id long, refused boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
