@@ -3,9 +3,9 @@
 Shingles of five words are hashed once. The top eight bits of a hash name one of 256 bins, of
 which each keeps its smallest hash. A bin that stays empty borrows from another one, drawn by a
 hash of (bin, attempt) until a filled one is met (optimal densification); after some
-attempts the draw goes on without replacement, by the smallest hash of (bin, filled bin). Of
-each bin the four low-order bits are packed into 16 longs. Two unlike bins agree in these by
-chance once in 16 times, and ``likeness`` corrects for that.
+attempts the draw goes on without replacement, by the smallest hash of (bin, filled bin). What each
+bin holds is hashed with the bin, and the four low-order bits are packed into 16 longs. Two unlike
+bins agree in these by chance once in 16 times, and ``likeness`` corrects for that.
 
 To make the bins, a sentinel for each is appended to the hashes, all are sorted, and the first
 of each bin is taken: a text's work is linear in its length but for that sort, and no array is
@@ -52,14 +52,15 @@ def with_fingerprint(rows: DataFrame, text: Column, name: str, width: int = SHIN
     step = step.withColumn("__d", F.filter("__s", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col("__s"), i - 1)))))
     low = F.lit((1 << BITS) - 1)
     full = lambda x: x.bitwiseAND(F.lit(_LOW)) != F.lit(_LOW)
-    step = step.withColumn("__f", F.filter("__d", full)).withColumn("__e", F.transform("__d", lambda x: F.when(full(x), x.bitwiseAND(low))))
+    step = step.withColumn("__f", F.filter("__d", full)).withColumn("__e", F.transform("__d", lambda x: F.when(full(x), x)))
 
     def borrowed(i: Column) -> Column:
         drawn = [F.get(F.col("__e"), F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
-        rest = F.array_min(F.transform("__f", lambda x: F.struct(F.xxhash64(i, bin_of(x)).alias("rank"), x.bitwiseAND(low).alias("low"))))
-        return F.coalesce(*drawn, rest["low"])
+        rest = F.array_min(F.transform("__f", lambda x: F.struct(F.xxhash64(i, bin_of(x)).alias("rank"), x.alias("value"))))
+        return F.coalesce(*drawn, rest["value"])
 
-    step = step.withColumn("__v", F.transform("__e", lambda x, i: F.coalesce(x, borrowed(i))))
+    # the bin takes part in the kept bits: else a text of one shingle agrees in all bins or none, by chance
+    step = step.withColumn("__v", F.transform("__e", lambda x, i: F.xxhash64(F.coalesce(x, borrowed(i)), i).bitwiseAND(low)))
 
     def packed(g: Column) -> Column:
         parts = [F.shiftleft(F.get(F.col("__v"), g * _PER_LONG + k), BITS * (_PER_LONG - 1 - k)) for k in range(_PER_LONG)]
