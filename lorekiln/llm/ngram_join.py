@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. Each shingle flips one bit of a
 sketches differ in at most as many bits as their sets have elements that are not shared. Sizes of linked sets
 differ by a bounded ratio; documents meet in joint bands of two neighbouring size bands. In a
 band at most D elements can differ, so of D + 1 parts of the sketches one is equal (pigeonhole).
-Parts have 1024 bits and travel as 64-bit digests that are linear over XOR.
+Parts have 1024 bits and travel as 64-bit digests that are linear over XOR. There are somewhat more
+parts than needed, so that parts of few elements, which agree by chance, need not be given.
 
 Equal sets are first made one class. Representatives that share a part form candidate blocks
 (components of stars around the smallest member of each part's bucket; no pairs are made). Any
@@ -21,24 +22,26 @@ give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected
+from ..operators.components import connected
 from .sequences import in_batches, windows_of
 from .shared import WordHashes, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_of, written
 
 SHINGLE = 3
 THRESHOLD = 90
 PART_BITS = 1024
-#: Elements of sets that one task verifies at a time, and beyond which a block is dealt to chunks.
+#: Elements of sets that one task verifies at a time, and beyond which a block is filtered again; of
+#: what is left, blocks of four times as many are dealt to chunks.
 LOT = 2_000_000
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Centres of a large block in one round.
 CENTRES = 64
 
@@ -55,10 +58,12 @@ def shingle_sets(units: list[np.ndarray], width: int) -> tuple[np.ndarray, np.nd
     if short:
         key = np.concatenate([key, np.array([k for k, _ in short], np.uint64)])
         doc = np.concatenate([doc, np.array([i for _, i in short], np.int32)])
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.empty(0, bool)
-    return key[new], doc[new]
+        order = np.argsort(doc, kind="stable")
+        key, doc = key[order], doc[order]
+    edges = np.searchsorted(doc, np.arange(len(units) + 1))
+    sets = [np.unique(key[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    sizes = [len(x) for x in sets]
+    return (np.concatenate(sets) if sets else key), np.repeat(np.arange(len(units), dtype=np.int32), sizes)
 
 
 @lru_cache
@@ -70,17 +75,48 @@ def bands(threshold: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
+@lru_cache
+def richness(threshold: int) -> tuple[int, float]:
+    """Elements from which a part counts as rich, and parts for each element of a joint band's largest sets.
+
+    Parts with few elements agree by chance, or where documents share a passage, so sets should be found by
+    rich ones. A set of n elements can differ from a linked one by n (100 - t) / t at most; if
+    it has more rich parts than that, one of them is equal. The choice is the largest number for
+    which that is to be expected (elements fall into parts at random), with a margin, of all
+    sets in a joint band.
+    """
+    differ = (100 - threshold) / threshold * 1.08
+
+    def share(per_element: float, least: int) -> float:
+        mean, term, poor = 1 / per_element, math.exp(-1 / per_element), 0.0
+        for k in range(least):
+            poor += term
+            term *= mean / (k + 1)
+        return per_element * (1 - poor)
+
+    for least in range(6, 0, -1):
+        for step in range(5, 60):
+            if min(share(step / 100, least), share(step / 100 / (threshold / 100) ** 2, least)) >= differ:
+                return least, step / 100
+    return 0, 0.0
+
+
 def parts_of(joint: np.ndarray, threshold: int) -> np.ndarray:
-    """Parts of a joint band, one more than elements of linked sets in it can differ by.
+    """Parts of a joint band, more than elements of linked sets in it can differ by.
 
     From 100 I >= t U and U = a + b - I follows a + b - 2 I <= (a + b)(100 - t) / (100 + t).
     """
     largest = bands(threshold)[joint + 1] - 1
-    return 2 * largest * (100 - threshold) // (100 + threshold) + 1
+    return np.maximum(2 * largest * (100 - threshold) // (100 + threshold) + 1, (largest * richness(threshold)[1]).astype(np.int64))
 
 
 def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: int) -> list[np.ndarray]:
-    """For each document the digests of its sketch's parts in both joint bands that it is in."""
+    """For each document the digests of its sketch's parts in both joint bands that it is in.
+
+    A document with enough rich parts gives these alone, any other one all of its parts. Of a linked pair,
+    if either has enough, one of its rich parts is equal, and rich in both; if neither has, all parts of both are there.
+    """
+    least, _ = richness(threshold)
     band = np.searchsorted(bands(threshold), np.maximum(sizes, 1), "right") - 1
     out: list[list[np.ndarray]] = [[] for _ in sizes]
     for joint in (band, band + 1):
@@ -89,29 +125,71 @@ def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: in
         offset = np.cumsum(parts) - parts
         salt = mixed(joint.astype(np.uint64) * odd_numbers(1, 31)[0])
         bit = mixed(key ^ salt[doc]) % (parts[doc].astype(np.uint64) * np.uint64(PART_BITS))
+        place = offset[doc] + (bit // np.uint64(PART_BITS)).astype(np.int64)
         digest = np.zeros(int(parts.sum()), np.uint64)
-        np.bitwise_xor.at(digest, offset[doc] + (bit // np.uint64(PART_BITS)).astype(np.int64), mixed(bit ^ odd_numbers(1, 32)[0]))
+        np.bitwise_xor.at(digest, place, mixed(bit ^ odd_numbers(1, 32)[0]))
         number = np.arange(len(digest)) - np.repeat(offset, parts)
         digest = mixed(digest ^ mixed(np.repeat(salt, parts) + number.astype(np.uint64) * odd_numbers(1, 33)[0]))
-        for i, (a, n) in enumerate(zip(offset, parts, strict=True)):
-            out[i].append(digest[a : a + n].view(np.int64))
+        rich = np.bincount(place, minlength=len(digest)) >= least
+        holder = np.repeat(np.arange(len(sizes)), parts)
+        largest = bands(threshold)[joint + 1] - 1
+        differ = np.minimum(sizes * (100 - threshold) // threshold, (sizes + largest) * (100 - threshold) // (100 + threshold))
+        enough = np.bincount(holder, rich, len(sizes)) > differ
+        given = rich | ~enough[holder]
+        kept = np.bincount(holder, given, len(sizes)).astype(np.int64)
+        digest = digest[given]
+        for i, (b, n) in enumerate(zip(np.cumsum(kept), kept, strict=True)):
+            out[i].append(digest[b - n : b].view(np.int64))
     return [np.concatenate(x) for x in out]
 
 
 def features(rows: DataFrame, width: int, threshold: int) -> DataFrame:
-    """uid, n (size of the set), class (128 bits that equal sets share), keys (digests of parts)."""
+    """uid, n (size of the set), class (128 bits that equal sets share), keys, near.
+
+    ``keys`` are the digests of those parts that no smaller uid of the same batch has. What shares
+    parts within the batch is connected there: ``near`` is the smallest uid of a document's
+    component, null for that one itself. A part that many documents share thus leaves a batch once.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = odd_numbers(2, 30)
         for uids, units, _ in in_batches(batches, _words()):
+            turn = np.argsort(uids, kind="stable")
+            uids, units = uids[turn], [units[i] for i in turn]
             key, doc = shingle_sets(units, width)
             sizes = np.bincount(doc, minlength=len(units)).astype(np.int64)
             sums = np.zeros((len(units), 2), np.uint64)
-            np.add.at(sums[:, 0], doc, mixed(key ^ one))
-            np.add.at(sums[:, 1], doc, mixed(key ^ two))
-            yield pd.DataFrame({"uid": uids, "n": sizes, "class": [x.tobytes() for x in sums], "keys": part_keys(key, doc, sizes, threshold)})
-
-    return rows.select("uid", "text").mapInPandas(part, "uid long, n long, class binary, keys array<long>")
+            full = sizes > 0
+            if full.any():
+                starts = (np.cumsum(sizes) - sizes)[full]
+                sums[full, 0], sums[full, 1] = np.add.reduceat(mixed(key ^ one), starts), np.add.reduceat(mixed(key ^ two), starts)
+            parts = part_keys(key, doc, sizes, threshold)
+            counts = np.array([len(x) for x in parts])
+            flat, holder = np.concatenate(parts), np.repeat(np.arange(len(parts)), counts)
+            order = np.argsort(flat)
+            begins = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]]) if len(flat) else np.empty(0, np.int64)
+            least = np.empty(len(flat), np.int64)
+            if len(flat):
+                least[order] = np.repeat(np.minimum.reduceat(holder[order], begins), np.diff(np.r_[begins, len(flat)]))
+            own = least == holder
+            ends = np.cumsum(counts)
+            keys = [flat[b - n : b][own[b - n : b]] for b, n in zip(ends, counts, strict=True)]
+            root = _roots(holder[~own], least[~own], len(uids))
+            yield pd.DataFrame({"uid": uids, "n": sizes, "class": [x.tobytes() for x in sums], "keys": keys, "near": pd.Series(uids[root], dtype="Int64").mask(root == np.arange(len(uids)))})
+
+    return rows.select("uid", "text").mapInPandas(part, "uid long, n long, class binary, keys array<long>, near long")
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node of each node's component, of n nodes with edges a[i], b[i]."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label
 
 
 def sweep(flat: np.ndarray, sizes: np.ndarray, threshold: int, label: np.ndarray | None = None) -> np.ndarray:
@@ -147,7 +225,31 @@ def _verified(blocks: DataFrame, rows: DataFrame, width: int, threshold: int) ->
         labels = [uid[a:b][sweep(key[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b], threshold)] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pd.DataFrame({"uid": uid, "label": np.concatenate(labels)})
 
-    return rows.select("uid", "text").join(blocks, "uid").groupBy("lot").applyInPandas(lot, "uid long, label long")
+    return rows.select("uid", "text").join(blocks.hint("merge"), "uid").groupBy("lot").applyInPandas(lot, "uid long, label long")
+
+
+def _by_prefix(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> DataFrame:
+    """uid, block, n of members (uid, n) of large blocks, in blocks that a second exact filter leaves.
+
+    Sketch parts also agree where many documents share a passage. In an order of shingles by
+    rising frequency, the first n - ceil(t n / 100) + 1 shingles of two linked sets have one in common,
+    and those of common passages come last.
+    """
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for uids, units, _ in in_batches(batches, _words()):
+            key, doc = shingle_sets(units, width)
+            yield pd.DataFrame({"uid": uids[doc], "key": key.view(np.int64)})
+
+    sizes = members.select("uid", "n")
+    elements = written(rows.select("uid", "text").join(sizes.select("uid").hint("merge"), "uid").mapInPandas(part, "uid long, key long"), "ngram-elements")
+    common = elements.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    nth = F.row_number().over(Window.partitionBy("uid").orderBy("times", "key"))
+    prefix = elements.join(common, "key").withColumn("nth", nth).join(sizes, "uid")
+    prefix = prefix.where("times > 1").where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
+    stars = prefix.select("uid", F.min("uid").over(Window.partitionBy("key")).alias("least")).groupBy("uid").agg(F.collect_set("least").alias("centres"))
+    stars = stars.select(F.explode(F.array_append("centres", F.col("uid"))).alias("a"), F.array_min("centres").alias("b")).where("a <> b").distinct()
+    return written(connected(written(stars, "ngram-stars")).withColumnRenamed("label", "block").join(sizes, "uid"), "ngram-blocks")
 
 
 def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -159,7 +261,7 @@ def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> D
     """
     upto = F.sum("n").over(_order("block", "uid"))
     dealt = written(members.select("uid", "block", F.floor(upto / LOT).alias("chunk")), "large-members")
-    texts = written(rows.select("uid", "text").join(dealt, "uid"), "large-texts")
+    texts = written(rows.select("uid", "text").join(dealt, "uid").select("uid", "text", "block", "chunk"), "large-texts")
     labels = written(dealt.select("uid", "block", F.col("uid").alias("label"), F.lit(False).alias("used")), "large-labels")
 
     def chunk(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
@@ -187,7 +289,7 @@ def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> D
         waiting = labels.where("NOT used").join(open_blocks, "block").join(crowd, ["block", "label"])
         turn = F.row_number().over(_order("block", "crowd", F.xxhash64("uid")))
         centres = written(waiting.select("block", "uid", turn.alias("turn")).where(F.col("turn") <= CENTRES).select("block", "uid"), "large-centres")
-        sent = texts.select("uid", "text").join(centres, "uid").join(dealt.select("block", "chunk").distinct(), "block")
+        sent = written(texts.select("uid", "text").join(centres.select("uid", "block"), "uid").join(dealt.select("block", "chunk").distinct(), "block"), "large-sent")
         found = texts.join(open_blocks, "block").groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInPandas(chunk, "a long, b long")
         groups = connected(labels.select(F.col("uid").alias("a"), F.col("label").alias("b")).unionByName(found))
         used = centres.select("uid", F.lit(True).alias("now"))
@@ -200,8 +302,6 @@ def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> D
 
 
 def _order(by: str, *order):
-    from pyspark.sql import Window
-
     return Window.partitionBy(by).orderBy(*order)
 
 
@@ -213,18 +313,24 @@ def ngram_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THR
 def _components(rows: DataFrame, width: int, threshold: int, lot: int = LOT, block: int = BLOCK) -> DataFrame:
     found = written(features(rows, width, threshold), "ngram-features")
     classes = written(found.where("n > 0").groupBy("class").agg(F.min("uid").alias("rep")), "ngram-classes")
-    reps = found.select("uid", "n", "keys").join(classes.select(F.col("rep").alias("uid")), "uid")
-    keyed = reps.select("uid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "least")
-    stars = written(keyed.join(shared, "key").where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")).distinct(), "ngram-stars")
+    keyed = found.select("uid", F.explode("keys").alias("key"))
+    least = F.min("uid").over(Window.partitionBy("key"))
+    # a member's stars around several centres become one around the smallest of them, which most others share
+    far = keyed.select("uid", least.alias("least")).where("uid <> least").groupBy("uid").agg(F.collect_set("least").alias("centres"))
+    far = far.select(F.explode(F.array_append("centres", F.col("uid"))).alias("a"), F.array_min("centres").alias("b")).where("a <> b").distinct()
+    stars = written(far.unionByName(found.select(F.col("uid").alias("a"), F.col("near").alias("b")).where("b IS NOT NULL")), "ngram-stars")
     release_shuffles(rows.sparkSession)
     candidates = connected(stars).withColumnRenamed("label", "block")
     candidates = written(candidates.join(found.select("uid", "n"), "uid"), "ngram-blocks")
-    sizes = candidates.groupBy("block").agg(F.sum("n").alias("total"))
+    total = lambda blocks: blocks.groupBy("block").agg(F.sum("n").alias("total"))
+    large = total(candidates).where(F.col("total") > block).select("block")
+    if not large.isEmpty():
+        narrower = _by_prefix(candidates.join(large, "block"), rows, width, threshold)
+        candidates = written(candidates.join(large, "block", "left_anti").unionByName(narrower.select(*candidates.columns)), "ngram-blocks")
+    large = total(candidates).where(F.col("total") > 4 * block).select("block")
     lots = max(1, (candidates.agg(F.sum("n")).first()[0] or 0) // lot)
-    small = sizes.where(F.col("total") <= block).select("block", F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot"))
+    small = total(candidates).where(F.col("total") <= 4 * block).select("block", F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot"))
     labels = written(_verified(candidates.select("uid", "block").join(small, "block"), rows, width, threshold), "ngram-labels")
-    large = sizes.where(F.col("total") > block).select("block")
     if not large.isEmpty():
         labels = labels.unionByName(_large(candidates.join(large, "block"), rows, width, threshold))
     release_shuffles(rows.sparkSession)

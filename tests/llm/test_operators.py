@@ -189,7 +189,7 @@ def test_ngram_components(docs, rows, spark, width, threshold):
 def test_ngram_components_of_blocks_that_no_task_holds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOT", 300)
     monkeypatch.setattr(ngram_join, "CENTRES", 3)
-    found = ngram_join.ngram_components(make(spark, near_rows(), 7), 3, 90, lot=300, block=200).select("doc_id", "n_shingles", "component_id")
+    found = ngram_join.ngram_components(make(spark, near_rows(), 7), 3, 90, lot=300, block=50).select("doc_id", "n_shingles", "component_id")
     assert {tuple(r) for r in found.collect()} == brute_components(near_rows(), 3, 90)
 
 
