@@ -38,6 +38,7 @@ from .shared import WordHashes, lookup, mixed, numbered, odd_numbers, release_sh
 SHINGLE = 3
 THRESHOLD = 90
 PART_BITS = 1024
+MOST_RICH = 6
 #: Elements of sets that one task verifies at a time, and beyond which a block is filtered again; of
 #: what is left, blocks of four times as many are dealt to chunks.
 LOT = 2_000_000
@@ -94,7 +95,7 @@ def richness(threshold: int) -> tuple[int, float]:
             term *= mean / (k + 1)
         return per_element * (1 - poor)
 
-    for least in range(6, 0, -1):
+    for least in range(MOST_RICH, 0, -1):
         for step in range(5, 60):
             if min(share(step / 100, least), share(step / 100 / (threshold / 100) ** 2, least)) >= differ:
                 return least, step / 100
@@ -113,10 +114,10 @@ def parts_of(joint: np.ndarray, threshold: int) -> np.ndarray:
 def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: int) -> list[np.ndarray]:
     """For each document the digests of its sketch's parts in both joint bands that it is in.
 
-    A document with enough rich parts gives these alone, any other one all of its parts. Of a linked pair,
-    if either has enough, one of its rich parts is equal, and rich in both; if neither has, all parts of both are there.
+    A document's level is the largest number of elements that more of its parts hold than a linked set
+    can differ in, and it gives the parts that hold as many. Of a linked pair, the one with the higher level has
+    an equal part of that level, which the other one, whose level is lower, gives too.
     """
-    least, _ = richness(threshold)
     band = np.searchsorted(bands(threshold), np.maximum(sizes, 1), "right") - 1
     out: list[list[np.ndarray]] = [[] for _ in sizes]
     for joint in (band, band + 1):
@@ -130,12 +131,14 @@ def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: in
         np.bitwise_xor.at(digest, place, mixed(bit ^ odd_numbers(1, 32)[0]))
         number = np.arange(len(digest)) - np.repeat(offset, parts)
         digest = mixed(digest ^ mixed(np.repeat(salt, parts) + number.astype(np.uint64) * odd_numbers(1, 33)[0]))
-        rich = np.bincount(place, minlength=len(digest)) >= least
+        held = np.bincount(place, minlength=len(digest))
         holder = np.repeat(np.arange(len(sizes)), parts)
         largest = bands(threshold)[joint + 1] - 1
         differ = np.minimum(sizes * (100 - threshold) // threshold, (sizes + largest) * (100 - threshold) // (100 + threshold))
-        enough = np.bincount(holder, rich, len(sizes)) > differ
-        given = rich | ~enough[holder]
+        level = np.zeros(len(sizes), np.int64)
+        for least in range(1, MOST_RICH + 1):
+            level[np.bincount(holder, held >= least, len(sizes)) > differ] = least
+        given = held >= level[holder]
         kept = np.bincount(holder, given, len(sizes)).astype(np.int64)
         digest = digest[given]
         for i, (b, n) in enumerate(zip(np.cumsum(kept), kept, strict=True)):
