@@ -6,6 +6,10 @@ reads the postings of its terms only; what follows is a sum for each id and a to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ..functions.vectors import cosine, norm
 # Fixed values of the ranking functions.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
+#: Vectors and queries of a block at most.
+VECTORS, QUERIES = 4096, 512
 
 
 def index_tokens(*columns: Column) -> Column:
@@ -109,6 +115,55 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 8, id_col: str
     return vectors.select(F.col(id_col), cosine(F.col(vector_col), literal).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _blocks(vectors: DataFrame, most: int, id_col: str, vector_col: str) -> DataFrame:
+    """width, ids, data: packed vectors of one width each, sorted by id. Vectors with nulls have width -1, as nothing is like them."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in batches:
+            for width, own in group.sort_values("id").groupby("width"):
+                for i in range(0, len(own), most):
+                    some = own.iloc[i : i + most]
+                    data = np.stack(some["v"].to_numpy()).astype("<f4").tobytes() if width > 0 else b""
+                    yield pd.DataFrame({"width": [width], "ids": [some["id"].to_numpy("<i8").tobytes()], "data": [data]})
+
+    v = F.col(vector_col)
+    width = F.when(v.isNull() | F.exists(v, lambda x: x.isNull()), -1).otherwise(F.size(v))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), width.alias("width")).mapInPandas(part, "width int, ids binary, data binary")
+
+
+def vector_top_k_all(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, id, score, rank: for each query row the ``k`` nearest of all vectors by cosine (to nine places), ties by id.
+
+    Exact: every block of queries meets every block of vectors, and each pair of blocks gives ``k`` for a query at most.
+    """
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = _blocks(queries, QUERIES, id_col, vector_col).toDF("query_width", "query_ids", "query_data")
+    pairs = _blocks(vectors, VECTORS, id_col, vector_col).repartition(partitions).crossJoin(left)
+
+    def unit(data: bytes, width: int) -> np.ndarray:
+        rows = np.frombuffer(data, "<f4").reshape(-1, width).astype(np.float64)
+        norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms != 0)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in batches:
+            for row in group.itertuples():
+                ids, asked = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.query_ids, "<i8")
+                scores = np.zeros((len(asked), len(ids)))
+                if row.width == row.query_width > 0:
+                    scores = np.round(unit(row.query_data, row.width) @ unit(row.data, row.width).T, 9) + 0.0  # no negative zero
+                order = np.where(np.isnan(scores), np.inf, scores)  # as Spark sorts them
+                least = np.partition(order, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                best = [np.flatnonzero(o >= low) for o, low in zip(order, least, strict=True)]
+                best = [at[np.argsort(-o[at], kind="stable")[:k]] for o, at in zip(order, best, strict=True)]
+                n, at = [len(x) for x in best], np.concatenate(best)
+                yield pd.DataFrame({"query_id": np.repeat(asked, n), "id": ids[at], "score": scores[np.repeat(np.arange(len(asked)), n), at]})
+
+    found = pairs.mapInPandas(nearest, "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
+    return found.withColumn("rank", place).where(F.col("rank") < k)
+
+
 def with_norm(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """A vector table that stores norms, so queries need not compute them."""
     return vectors.withColumn("norm", norm(F.col(vector_col)))

@@ -101,6 +101,13 @@ def vector_topk(t: Tables) -> DataFrame:
     return _nearest(t).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def vector_topk_all(t: Tables) -> DataFrame:
+    """Every row whose id is divisible by 20 asks; all rows answer."""
+    found = R.vector_top_k_all(t.embeddings, t.embeddings.where("vec_id % 20 = 0"))
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""
 WITH l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM ({_bm25_sql(_DOCS, 36)})),
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS r FROM ({_COS}))

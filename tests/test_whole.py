@@ -3,8 +3,10 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
+from lorekiln.operators import retrieval
 
 
 def table(sf, name, columns):
@@ -42,3 +44,43 @@ def test_components_of_all_lines(spark, sf, tmp_path):
     labels = found(tmp_path)
     assert labels == union_find((p, o + 1_000_000_000) for p, o in lines)
     assert Counter(labels.values()).most_common(2) == [(1, 399 + 90), (1000, 60 + 61)]
+
+
+def nearest(vectors, queries, k):
+    """query, place -> id: each query alone against all vectors, one by one."""
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        a, b = np.array(a, float), np.array(b, float)
+        return round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9)
+
+    found = {}
+    for q, x in queries:
+        for rank, (score, i) in enumerate(sorted((-cosine(x, v), i) for i, v in vectors)[:k]):
+            found[q, rank] = (i, -score)
+    return found
+
+
+def equal(found, expected):
+    assert {x: i for x, (i, _) in found.items()} == {x: i for x, (i, _) in expected.items()}
+    assert all(abs(found[x][1] - expected[x][1]) < 2e-6 for x in expected)
+
+
+def test_every_query_vector_is_answered(spark, sf):
+    vectors = table(sf, "embeddings", "vec_id, embedding")
+    rows = entry.queries()["vector_topk_all"](spark, sf).collect()
+    expected = nearest(vectors, [v for v in vectors if v[0] % 20 == 0], 8)
+    equal({(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows}, expected)
+    assert len(rows) == len(expected) == 8 * sum(i % 20 == 0 for i, _ in vectors) > 8
+
+
+def test_blocked_vectors_with_ties_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTORS", 7)
+    monkeypatch.setattr(retrieval, "QUERIES", 3)
+    near = [(i, [1.0, float(i % 5), 0.5]) for i in range(60)]  # each vector twelve times
+    rows = near + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, 2.0]), (63, []), (64, [-1.0, -2.0, -0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = retrieval.vector_top_k_all(df, df.where("vec_id % 4 = 0"), 5).collect()
+    equal({(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found}, nearest(rows, [x for x in rows if x[0] % 4 == 0], 5))
+    assert retrieval.vector_top_k_all(df.limit(0), df).count() == 0
