@@ -5,7 +5,7 @@ Nations are pages (those of region 0 are domain pages), suppliers their refs; cu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -42,6 +42,12 @@ def _relations(t: Tables) -> DataFrame:
     return pairs.select(F.col("a").cast("string").alias("source_node_id"), F.lit("supplies_with").alias("relation_type"), F.col("b").cast("string").alias("target_node_id"), F.lit("active").alias("status")).distinct()
 
 
+def _chained(t: Tables) -> DataFrame:
+    """All suppliers of one part, each with the next in the order of their keys."""
+    pairs = t.lineitem.select("l_partkey", F.col("l_suppkey").alias("b")).distinct().withColumn("a", F.lag("b").over(Window.partitionBy("l_partkey").orderBy("b"))).where("a IS NOT NULL")
+    return pairs.select(F.col("a").cast("string").alias("source_node_id"), F.lit("supplies_with").alias("relation_type"), F.col("b").cast("string").alias("target_node_id"), F.lit("active").alias("status")).distinct()
+
+
 _LINKS = """SELECT s_nationkey AS from_page, c_nationkey AS to_page FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
 _PAGES = """SELECT n_nationkey AS page_id, n_name AS title, lower(n_name) AS slug, CASE WHEN n_regionkey = 0 THEN 'domain' ELSE lower(r_name) END AS category FROM nation JOIN region ON n_regionkey = r_regionkey"""
 _WORDS = """SELECT CAST(s_suppkey AS VARCHAR) AS ref, CASE WHEN s_acctbal < 0 THEN 'concept' ELSE 'entity' END || ':' || s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 'concept' ELSE 'entity' END AS node_type, CASE WHEN s_suppkey % 2 = 0 AND s_name <> '' THEN s_name ELSE lower(s_name) END AS label, s_nationkey FROM supplier"""
@@ -62,6 +68,12 @@ def graph_edges_by_relation(t: Tables) -> DataFrame:
     return _graph(t)[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def graph_edges_chained(t: Tables) -> DataFrame:
+    """Edges by relation where every supplier of a part is related, not its first and last only."""
+    return G.build(_pages(t), _links(t), _nodes(t), _chained(t))[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""
 WITH e AS ({_EDGES}), n AS (SELECT 'page:' || page_id AS id, 'page' AS node_type, title AS label FROM ({_PAGES}) UNION ALL SELECT id, node_type, label FROM ({_WORDS}))
 SELECT relation, h.id, node_type, label FROM (SELECT relation, target AS id FROM e WHERE source = 'page:3' UNION ALL SELECT relation, source FROM e WHERE target = 'page:3') h
@@ -257,6 +269,13 @@ def cluster_coverage(t: Tables) -> DataFrame:
     return found.agg(F.sum("n").alias("nodes"), F.sum(F.when(F.col("n") <= 24, F.col("n")).otherwise(0)).alias("placed"))
 
 
+@query()
+def supplier_clusters(t: Tables) -> DataFrame:
+    """id, component, cluster of every supplier, over all chained relations."""
+    nodes = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("entity").alias("node_kind"), F.array(F.col("s_nationkey").cast("string")).alias("dirs"), F.lit(10).cast("long").alias("tokens"))
+    return G.clusters(nodes, _chained(t).select(F.col("source_node_id").cast("long").alias("source"), F.col("target_node_id").cast("long").alias("target")))
+
+
 @query()
 def aggregate_pages(t: Tables) -> DataFrame:
     labels = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("label"))

@@ -84,3 +84,41 @@ def test_blocked_vectors_with_ties_and_odd_rows(spark, monkeypatch):
     found = retrieval.vector_top_k_all(df, df.where("vec_id % 4 = 0"), 5).collect()
     equal({(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found}, nearest(rows, [x for x in rows if x[0] % 4 == 0], 5))
     assert retrieval.vector_top_k_all(df.limit(0), df).count() == 0
+
+
+def chain(sf):
+    suppliers = {}
+    for p, s in table(sf, "lineitem", "l_partkey, l_suppkey"):
+        suppliers.setdefault(p, set()).add(s)
+    return {pair for found in suppliers.values() for pair in zip(sorted(found), sorted(found)[1:], strict=False)}
+
+
+def test_every_supplier_of_a_part_is_related(spark, sf):
+    found, ends = ({r["relation"]: r["n"] for r in entry.queries()[name](spark, sf).collect()} for name in ("graph_edges_chained", "graph_edges_by_relation"))
+    assert found == ends | {"supplies_with": len(chain(sf))} and found["supplies_with"] != ends["supplies_with"]
+
+
+def test_clusters_of_all_relations(spark, sf):
+    nations = dict(table(sf, "supplier", "s_suppkey, s_nationkey"))
+    roots = {s: s for s in nations} | union_find(chain(sf))
+    expected = {}
+
+    def cut(members):
+        by = {}
+        for m in members:
+            by.setdefault(str(nations[m]), []).append(m)
+        if len(members) <= 24:
+            expected.update({m: members[0] for m in members})
+        elif len(by) > 1:
+            for k in by:
+                cut(by[k])
+        else:
+            half = (len(members) + 1) // 2
+            cut(members[:half])
+            cut(members[half:])
+
+    for root in set(roots.values()):
+        cut(sorted(s for s in nations if roots[s] == root))
+    rows = entry.queries()["supplier_clusters"](spark, sf).collect()
+    assert {r["id"]: (r["component"], r["cluster"]) for r in rows} == {s: (roots[s], expected[s]) for s in nations}
+    assert len(rows) == len(nations)
