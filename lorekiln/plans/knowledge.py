@@ -100,6 +100,15 @@ def connected_components_all(t: Tables) -> DataFrame:
     return connected(t.lineitem.select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1_000_000_000).alias("b")).distinct())
 
 
+def _related(t: Tables, cited: DataFrame) -> DataFrame:
+    refs = t.part.select(F.col("p_brand").alias("page_id"), F.col("p_partkey").alias("node"))
+    a = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("source"))
+    b = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("target"))
+    relations = a.join(b, ["l_orderkey", "n"]).select("source", "target").distinct()
+    sources = cited.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("page_id"), F.col("l_suppkey").alias("source_id"))
+    return G.related_pages(refs, relations, sources)
+
+
 @query("""
 WITH refs AS (SELECT p_brand AS page, p_partkey AS node FROM part),
 pairs AS (SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber),
@@ -111,12 +120,13 @@ scores AS (
 total AS (SELECT p, q, CAST(sum(score) AS BIGINT) AS score FROM scores GROUP BY p, q)
 SELECT * FROM (SELECT p AS page_id, q AS related, score, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS rank FROM total) WHERE rank <= 8""")
 def related_pages_top8(t: Tables) -> DataFrame:
-    refs = t.part.select(F.col("p_brand").alias("page_id"), F.col("p_partkey").alias("node"))
-    a = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("source"))
-    b = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("target"))
-    relations = a.join(b, ["l_orderkey", "n"]).select("source", "target").distinct()
-    sources = t.lineitem.where("l_quantity >= 50").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("page_id"), F.col("l_suppkey").alias("source_id"))
-    return G.related_pages(refs, relations, sources)
+    return _related(t, t.lineitem.where("l_quantity >= 50"))
+
+
+@query()
+def related_pages_all(t: Tables) -> DataFrame:
+    """As related_pages_top8, with the suppliers of every line as sources."""
+    return _related(t, t.lineitem)
 
 
 _INBOUND = f"""SELECT to_page AS page_id, count(*) AS inbound FROM ({_LINKS}) l JOIN ({_PAGES}) p ON l.from_page = p.page_id

@@ -122,3 +122,40 @@ def test_clusters_of_all_relations(spark, sf):
     rows = entry.queries()["supplier_clusters"](spark, sf).collect()
     assert {r["id"]: (r["component"], r["cluster"]) for r in rows} == {s: (roots[s], expected[s]) for s in nations}
     assert len(rows) == len(nations)
+
+
+def test_related_pages_by_all_lines(spark, sf):
+    brand = dict(table(sf, "part", "p_partkey, p_brand"))
+    lines = table(sf, "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey")
+    parts = {}  # numbers are not unique within an order
+    for o, n, p, _ in lines:
+        parts.setdefault((o, n), []).append(p)
+    follows = {(a, b) for (o, n), found in parts.items() for a in found for b in parts.get((o, n + 1), [])}
+    score, sources = Counter(), {b: set() for b in brand.values()}
+    for a, b in follows:
+        if brand[a] != brand[b]:
+            score[brand[a], brand[b]] += 2
+            score[brand[b], brand[a]] += 2
+    for _, _, p, s in lines:
+        sources[brand[p]].add(s)
+    for a in sources:
+        for b in sources:
+            if a != b and sources[a] & sources[b]:
+                score[a, b] += len(sources[a] & sources[b])
+    expected = set()
+    for page in sources:
+        best = sorted((-n, q) for (p, q), n in score.items() if p == page)[:8]
+        expected |= {(page, q, -n, rank) for rank, (n, q) in enumerate(best, 1)}
+    found, filtered = ({tuple(r[c] for c in ("page_id", "related", "score", "rank")) for r in entry.queries()[name](spark, sf).collect()} for name in ("related_pages_all", "related_pages_top8"))
+    assert found == expected != filtered
+
+
+def test_synthesis_of_all_lines(spark, sf):
+    region, nation = dict(table(sf, "region", "r_regionkey, r_name")), {n: (name, r) for n, name, r in table(sf, "nation", "n_nationkey, n_name, n_regionkey")}
+    buyer, seller, order = dict(table(sf, "customer", "c_custkey, c_nationkey")), dict(table(sf, "supplier", "s_suppkey, s_nationkey")), dict(table(sf, "orders", "o_orderkey, o_custkey"))
+    merged = {r: set() for r in region}
+    for o, s in table(sf, "lineitem", "l_orderkey, l_suppkey"):
+        if nation[buyer[order[o]]][1] == nation[seller[s]][1]:
+            merged[nation[seller[s]][1]].add(seller[s])
+    found, filtered = ({r["title"]: (r["merged"], r["passed"]) for r in entry.queries()[name](spark, sf).collect()} for name in ("cross_doc_synthesis_all", "cross_doc_synthesis"))
+    assert found == {region[r]: (len(m), len(m) >= 3) for r, m in merged.items()} != filtered
