@@ -1,5 +1,6 @@
 """Registered queries that no SQL covers, against plain Python over all rows of their tables."""
 
+import zlib
 from collections import Counter
 
 import duckdb
@@ -159,3 +160,17 @@ def test_synthesis_of_all_lines(spark, sf):
             merged[nation[seller[s]][1]].add(seller[s])
     found, filtered = ({r["title"]: (r["merged"], r["passed"]) for r in entry.queries()[name](spark, sf).collect()} for name in ("cross_doc_synthesis_all", "cross_doc_synthesis"))
     assert found == {region[r]: (len(m), len(m) >= 3) for r, m in merged.items()} != filtered
+
+
+def test_coverage_of_all_lines(spark, sf):
+    covered = total = 0
+    for (text,) in table(sf, "documents", "text"):
+        lines = (text or "").split("\n")
+        claim = "\n".join(x for x in lines if zlib.crc32(x.encode()) % 8)
+        facts = [x for x in lines if x.strip(" ")]
+        covered, total = covered + sum(x in claim for x in facts), total + len(facts)
+    row = entry.queries()["coverage_lines"](spark, sf).first()
+    assert (row["covered"], row["total"]) == (covered, total) and 0 < covered < total
+    assert total > entry.queries()["coverage_ratio"](spark, sf).first()["total"]
+    gates = {r["gate"]: r["value"] for r in entry.queries()["release_gates"](spark, sf).collect()}
+    assert abs(gates["coverage"] - covered / total) < 1e-12
