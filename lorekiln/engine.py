@@ -122,10 +122,27 @@ class KnowledgeBase:
             codes = providers.answer_codes(answer, citable)
         return {"answer": answer, "codes": codes, "sources": sorted({r["path"] for r in rows})}
 
-    def lint(self, files_on_disk: DataFrame | None = None) -> DataFrame:
-        """Findings about titles, links and, with what is on disk, edited files of the active build."""
+    def lint(self, files_on_disk: DataFrame | None = None, citations: DataFrame | None = None, sources: DataFrame | None = None, relations: DataFrame | None = None, insights: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+        """Findings of the active build: duplicates, broken links, unsupported sections, and the checks whose tables are given.
+
+        citations with sources: missing and changed ones; relations (source, target: slugs): orphans; insights with
+        current (citation_id, current): stale ones; files_on_disk: edited files. The columns are those of operators/lint.py.
+        """
+        if (citations is None) != (sources is None) or (insights is None) != (current is None):
+            raise ValueError("citations need sources, and insights need current")
         pages = self.store.read()
-        found = [lint.duplicates(pages), lint.broken_links(lint.body_links(pages), pages)]
+        page = pages.select("path", "page_id", "slug", "title", F.lit("source").alias("category"), F.array("slug").alias("refs"))
+        links = lint.body_links(pages)
+        found = [lint.duplicates(pages), lint.broken_links(links, pages)]
+        found.append(lint.unsupported_sections(self._table("sections").select("path", "level", "heading", "content").join(page, "path")))
+        if citations is not None:
+            found.append(lint.citation_sources(citations, sources))
+        if relations is not None:
+            key = lambda c: F.lower(F.trim(c)).alias("key")
+            ends = links.select("slug", key("target")).join(page.select(key("title"), F.col("page_id").alias("to_page")), "key")
+            found.append(lint.orphans(page, ends.join(page.select("slug", F.col("page_id").alias("from_page")), "slug"), relations))
+        if insights is not None:
+            found.append(lint.stale_insights(insights, current))
         if files_on_disk is not None:
             found.append(lint.edited_files(pages, files_on_disk))
         return lint.report(*found)

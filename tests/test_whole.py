@@ -7,7 +7,8 @@ import duckdb
 import numpy as np
 
 import __spark_entry__ as entry
-from lorekiln.operators import retrieval
+from lorekiln.engine import KnowledgeBase
+from lorekiln.operators import lint, retrieval
 
 
 def table(sf, name, columns):
@@ -174,3 +175,25 @@ def test_coverage_of_all_lines(spark, sf):
     assert total > entry.queries()["coverage_ratio"](spark, sf).first()["total"]
     gates = {r["gate"]: r["value"] for r in entry.queries()["release_gates"](spark, sf).collect()}
     assert abs(gates["coverage"] - covered / total) < 1e-12
+
+
+def test_engine_runs_all_eight_checks(spark, tmp_path):
+    source = tmp_path / "docs"
+    source.mkdir()
+    (source / "a.md").write_text("# Alpha\n\nsee [[Beta]] and [[Gamma]]\n\n## Long\n\n" + "no source says so. " * 20 + "\n")
+    for name, title in (("b", "Beta"), ("c", "Tied"), ("d", "Alpha")):
+        (source / f"{name}.md").write_text(f"# {title}\n\nshort\n")
+    kb = KnowledgeBase(spark, str(tmp_path / "state"))
+    kb.build(str(source), "b1")
+    df = spark.createDataFrame
+    found = kb.lint(
+        df([("a", "old")], "slug string, content string"),
+        df([("a", 1, "x"), ("a", 2, "x")], "slug string, source_id long, source_hash string"),
+        df([(1, "removed", "x"), (2, "active", "y")], "source_id long, status string, content_hash string"),
+        df([("c", "other")], "source string, target string"),
+        df([(1, 1, "x")], "insight_id long, citation_id long, digest string"),
+        df([(1, "y")], "citation_id long, current string"),
+    ).collect()
+    assert {r["check"] for r in found} == set(lint.CHECKS)
+    slugs = {c: [r["slug"] for r in found if r["check"] == c] for c in lint.CHECKS}
+    assert slugs["orphan-page"] == ["a", "d"] and slugs["unsupported-section"] == ["a"] and slugs["duplicate-concept"] == ["d"]
