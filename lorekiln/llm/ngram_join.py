@@ -3,47 +3,58 @@
 A document's set is its distinct word shingles. Each shingle flips one bit of a sketch, so two
 sketches differ in at most as many bits as their sets have elements that are not shared. Sizes of linked sets
 differ by a bounded ratio; documents meet in joint bands of two neighbouring size bands. In a
-band at most D elements can differ, so of D + 1 parts of the sketches one is equal (pigeonhole).
-Parts have 1024 bits and travel as 64-bit digests that are linear over XOR. There are somewhat more
-parts than needed, so that parts of few elements, which agree by chance, need not be given.
-
-Equal sets are first made one class. Representatives that share a part form candidate blocks
-(components of stars around the smallest member of each part's bucket; no pairs are made). Any
-link lies within a block, and blocks are verified with exact sets: a centre's overlap with
-all members is one vector operation, and centres are taken until the block is one component or
-each member has been one. Blocks beyond a task's bounds are dealt to chunks, and rounds of
-centres are sent to all chunks until the same holds.
+band at most D elements can differ, so of the parts of two linked sketches at most D are unlike (pigeonhole).
+
+1. Keys. A part travels as a 64-bit digest. Parts are counted over the corpus and ordered by rising
+   count. The D + 1 rarest parts of one sketch have one in common with the D + 1 rarest of any
+   linked one, whatever the other parts are. A document of which more than D parts occur nowhere else
+   thus has no link, and parts that many documents hold in common are hardly ever keys.
+2. Distances. Within a key's bucket, each member's sketch is held against that of one centre; only pairs whose
+   sketches differ in no more bits than linked sets can, and whose sizes allow a link, are near. Buckets that
+   this doesn't settle (members neither all near the centre nor all of one component) are
+   dealt to cells of bounded size, and there all members that are in different components are held against each other.
+3. Verification. Components of near pairs are blocks. Any link lies within a block, and blocks are verified with
+   exact sets: a centre's overlap with all members is one vector operation, and centres are taken
+   until those that have not been centres are of one component. Blocks beyond a task's
+   bounds are dealt to chunks, and rounds of centres go to all chunks until the same holds.
+
+Equal sets are one class, which its smallest uid represents. No step gathers a bucket or a block
+of unbounded size in one task, and none makes a row for each pair of a group.
 
 Defined results: null or wordless texts have no shingles and link with nothing, not even each
 other; a text of fewer words than a shingle has one element. Rows that repeat a doc_id, or have
 none, count as documents of their own in the order of doc_id (null last) and text. Empty tables
-give empty results.
+give empty results. Extra columns, whatever their names, neither matter nor change.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from .sequences import in_batches, windows_of
-from .shared import WordHashes, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_of, written
+from .shared import WordHashes, discard, fresh, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_of, written
 
 SHINGLE = 3
 THRESHOLD = 90
 PART_BITS = 1024
-MOST_RICH = 6
-#: Elements of sets that one task verifies at a time, and beyond which a block is filtered again; of
-#: what is left, blocks of four times as many are dealt to chunks.
+#: Parts of a sketch for each element in which linked sets can differ.
+SPARE = 1.6
+#: Bits of the sketches that are held against each other, for each element, at least.
+BITS = 4
+#: Members of a bucket that one cell compares with another such number.
+CELL = 1_000
+#: Elements of sets that one task verifies at a time; a block of more than BLOCK is dealt to chunks of as many.
 LOT = 2_000_000
 BLOCK = 1_000_000
-#: Centres of a large block in one round.
+#: Centres of a large block in the first round; each round takes four times as many.
 CENTRES = 64
 
 
@@ -76,87 +87,81 @@ def bands(threshold: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-@lru_cache
-def richness(threshold: int) -> tuple[int, float]:
-    """Elements from which a part counts as rich, and parts for each element of a joint band's largest sets.
-
-    Parts with few elements agree by chance, or where documents share a passage, so sets should be found by
-    rich ones. A set of n elements can differ from a linked one by n (100 - t) / t at most; if
-    it has more rich parts than that, one of them is equal. The choice is the largest number for
-    which that is to be expected (elements fall into parts at random), with a margin, of all
-    sets in a joint band.
-    """
-    differ = (100 - threshold) / threshold * 1.08
-
-    def share(per_element: float, least: int) -> float:
-        mean, term, poor = 1 / per_element, math.exp(-1 / per_element), 0.0
-        for k in range(least):
-            poor += term
-            term *= mean / (k + 1)
-        return per_element * (1 - poor)
+def differ(size: np.ndarray, largest: np.ndarray, threshold: int) -> np.ndarray:
+    """Elements that sets of ``size`` and of at most ``largest``, if linked, have not in common.
 
-    for least in range(MOST_RICH, 0, -1):
-        for step in range(5, 60):
-            if min(share(step / 100, least), share(step / 100 / (threshold / 100) ** 2, least)) >= differ:
-                return least, step / 100
-    return 0, 0.0
+    From 100 I >= t U and U = a + b - I follows a + b - 2 I <= (a + b)(100 - t) / (100 + t), and b <= 100 a / t.
+    """
+    return np.minimum(size * (100 - threshold) // threshold, (size + largest) * (100 - threshold) // (100 + threshold))
 
 
 def parts_of(joint: np.ndarray, threshold: int) -> np.ndarray:
-    """Parts of a joint band, more than elements of linked sets in it can differ by.
-
-    From 100 I >= t U and U = a + b - I follows a + b - 2 I <= (a + b)(100 - t) / (100 + t).
-    """
+    """Parts of a joint band, more than elements of linked sets in it can differ by."""
     largest = bands(threshold)[joint + 1] - 1
-    return np.maximum(2 * largest * (100 - threshold) // (100 + threshold) + 1, (largest * richness(threshold)[1]).astype(np.int64))
+    most = 2 * largest * (100 - threshold) // (100 + threshold)
+    return np.maximum(most + 1, (SPARE * most).astype(np.int64))
 
 
-def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: int) -> list[np.ndarray]:
-    """For each document the digests of its sketch's parts in both joint bands that it is in.
+def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For either joint band of a document: digests of its sketch's parts, how many each document has, and its slack.
 
-    A document's level is the largest number of elements that more of its parts hold than a linked set
-    can differ in, and it gives the parts that hold as many. Of a linked pair, the one with the higher level has
-    an equal part of that level, which the other one, whose level is lower, gives too.
+    Slack is how many of the digests may be left out, the most frequent ones: the others are one more than a
+    linked set can differ in. Empty parts come last in any order and are given only where others are too few. Documents
+    that can link with equal sets only give none.
     """
     band = np.searchsorted(bands(threshold), np.maximum(sizes, 1), "right") - 1
-    out: list[list[np.ndarray]] = [[] for _ in sizes]
+    out = []
     for joint in (band, band + 1):
-        parts = parts_of(joint, threshold)
-        parts[sizes == 0] = 0
+        most = differ(sizes, bands(threshold)[joint + 1] - 1, threshold)
+        parts = np.where(most > 0, parts_of(joint, threshold), 0)
         offset = np.cumsum(parts) - parts
         salt = mixed(joint.astype(np.uint64) * odd_numbers(1, 31)[0])
-        bit = mixed(key ^ salt[doc]) % (parts[doc].astype(np.uint64) * np.uint64(PART_BITS))
-        place = offset[doc] + (bit // np.uint64(PART_BITS)).astype(np.int64)
+        own = parts[doc] > 0
+        element, holder = key[own], doc[own]
+        bit = mixed(element ^ salt[holder]) % (parts[holder].astype(np.uint64) * np.uint64(PART_BITS))
         digest = np.zeros(int(parts.sum()), np.uint64)
-        np.bitwise_xor.at(digest, place, mixed(bit ^ odd_numbers(1, 32)[0]))
+        np.bitwise_xor.at(digest, offset[holder] + (bit // np.uint64(PART_BITS)).astype(np.int64), mixed(bit ^ odd_numbers(1, 32)[0]))
+        filled, holder = digest != 0, np.repeat(np.arange(len(sizes)), parts)
+        lacking = np.maximum(most + 1 - np.bincount(holder, filled, len(sizes)).astype(np.int64), 0) * (parts > 0)
+        empties = np.cumsum(~filled)
+        nth = empties - np.repeat(np.r_[0, empties][offset], parts)
+        given = filled | (nth <= lacking[holder])
         number = np.arange(len(digest)) - np.repeat(offset, parts)
         digest = mixed(digest ^ mixed(np.repeat(salt, parts) + number.astype(np.uint64) * odd_numbers(1, 33)[0]))
-        held = np.bincount(place, minlength=len(digest))
-        holder = np.repeat(np.arange(len(sizes)), parts)
-        largest = bands(threshold)[joint + 1] - 1
-        differ = np.minimum(sizes * (100 - threshold) // threshold, (sizes + largest) * (100 - threshold) // (100 + threshold))
-        level = np.zeros(len(sizes), np.int64)
-        for least in range(1, MOST_RICH + 1):
-            level[np.bincount(holder, held >= least, len(sizes)) > differ] = least
-        given = held >= level[holder]
-        kept = np.bincount(holder, given, len(sizes)).astype(np.int64)
-        digest = digest[given]
-        for i, (b, n) in enumerate(zip(np.cumsum(kept), kept, strict=True)):
-            out[i].append(digest[b - n : b].view(np.int64))
-    return [np.concatenate(x) for x in out]
+        counts = np.bincount(holder, given, len(sizes)).astype(np.int64)
+        out.append((digest[given].view(np.int64), counts, np.where(parts > 0, counts - most - 1, 0)))
+    return out
+
+
+def sketches(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of 64 bits, and how many each document has: a power of two, with BITS bits for each element or more.
+
+    A sketch of half as many words is the XOR of a sketch's halves.
+    """
+    words = 1 << np.ceil(np.log2(np.maximum(BITS * sizes / 64, 1))).astype(np.int64)
+    offset = np.cumsum(words) - words
+    bit = mixed(key ^ odd_numbers(1, 34)[0])
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, offset[doc] + ((bit >> np.uint64(6)).astype(np.int64) & (words[doc] - 1)), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64), words
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
+
+
+FEATURES = "uid long, n long, class binary, sketch array<long>, keys0 array<long>, slack0 int, keys1 array<long>, slack1 int"
 
 
 def features(rows: DataFrame, width: int, threshold: int) -> DataFrame:
-    """uid, n (size of the set), class (128 bits that equal sets share), keys, near.
+    """uid, n (size of the set), class (128 bits that equal sets share), sketch, and keys and slack of both joint bands.
 
-    ``keys`` are the digests of those parts that no smaller uid of the same batch has. What shares
-    parts within the batch is connected there: ``near`` is the smallest uid of a document's
-    component, null for that one itself. A part that many documents share thus leaves a batch once.
+    Of equal sets in a batch only the first has a sketch and keys.
     """
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = odd_numbers(2, 30)
-        for uids, units, _ in in_batches(batches, _words()):
+        for uids, units, _ in in_batches((b.to_pandas() for b in batches), _words()):
             turn = np.argsort(uids, kind="stable")
             uids, units = uids[turn], [units[i] for i in turn]
             key, doc = shingle_sets(units, width)
@@ -166,44 +171,135 @@ def features(rows: DataFrame, width: int, threshold: int) -> DataFrame:
             if full.any():
                 starts = (np.cumsum(sizes) - sizes)[full]
                 sums[full, 0], sums[full, 1] = np.add.reduceat(mixed(key ^ one), starts), np.add.reduceat(mixed(key ^ two), starts)
-            parts = part_keys(key, doc, sizes, threshold)
-            counts = np.array([len(x) for x in parts])
-            flat, holder = np.concatenate(parts), np.repeat(np.arange(len(parts)), counts)
-            order = np.argsort(flat)
-            begins = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]]) if len(flat) else np.empty(0, np.int64)
-            least = np.empty(len(flat), np.int64)
-            if len(flat):
-                least[order] = np.repeat(np.minimum.reduceat(holder[order], begins), np.diff(np.r_[begins, len(flat)]))
-            own = least == holder
-            ends = np.cumsum(counts)
-            keys = [flat[b - n : b][own[b - n : b]] for b, n in zip(ends, counts, strict=True)]
-            root = _roots(holder[~own], least[~own], len(uids))
-            yield pd.DataFrame({"uid": uids, "n": sizes, "class": [x.tobytes() for x in sums], "keys": keys, "near": pd.Series(uids[root], dtype="Int64").mask(root == np.arange(len(uids)))})
-
-    return rows.select("uid", "text").mapInPandas(part, "uid long, n long, class binary, keys array<long>, near long")
-
-
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest node of each node's component, of n nodes with edges a[i], b[i]."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            return label
+            leads = np.zeros(len(units), bool)
+            leads[np.unique(sums, axis=0, return_index=True)[1]] = True
+            leads &= full
+            own = leads[doc]
+            key, doc, led = key[own], doc[own], np.where(leads, sizes, 0)
+            (keys0, counts0, slack0), (keys1, counts1, slack1) = part_keys(key, doc, led, threshold)
+            bits, words = sketches(key, doc, led)
+            columns = [pa.array(uids), pa.array(sizes), pa.array([x.tobytes() for x in sums], pa.binary()), _lists(bits, words), _lists(keys0, counts0), pa.array(slack0.astype(np.int32)), _lists(keys1, counts1), pa.array(slack1.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FEATURES.split(", ")])
+
+    return rows.select("uid", "text").mapInArrow(part, FEATURES)
+
+
+def buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, uid: the keys by which representatives meet, each with two members at least.
+
+    Counting combines on the map side, and counts go back by a join whose skew Spark can split.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"slack{i}").alias("slack"), F.col(f"keys{i}").alias("keys")) for i in (0, 1)])
+    keyed = found.select("uid", F.inline(sides)).select("uid", "side", "slack", F.explode("keys").alias("key"))
+    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "ngram-counts")
+    release_shuffles(found.sparkSession)
+    common = keyed.join(counts, "key").groupBy("uid", "side", "slack").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
+    rarest = common.where(F.size("keys") > F.col("slack")).select("uid", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("slack"))["key"]).alias("key"))
+    moved = found.where("size(keys0) + size(keys1) > 0").join(classes, "class").where("uid <> rep").select("uid", "rep")
+    members = rarest.join(moved, "uid", "left").select("key", F.coalesce("rep", "uid").alias("uid")).distinct()
+    table = written(members, "ngram-members")
+    discard(counts)
+    release_shuffles(found.sparkSession)
+    return table
+
+
+def _distance(a: Column, b: Column, folds: int) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    short = F.least(F.size(a), F.size(b))
+
+    def word(x: Column, i: Column) -> Column:
+        out = F.get(x, i)
+        for k in range(1, folds):
+            out = out.bitwiseXOR(F.coalesce(F.get(x, i + short * k), F.lit(0).cast("long")))
+        return out
+
+    bits = F.transform(F.sequence(F.lit(0), short - 1), lambda i: F.bit_count(word(a, i).bitwiseXOR(word(b, i))))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
+def near(edges: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
+    """Those edges (a, b) whose sizes and sketches (uid, n, sketch) allow a link."""
+    folds = 1
+    while folds * threshold < 200:
+        folds *= 2
+    of = lambda x: sketched.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    pairs = edges.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
+    return pairs.where(_distance(F.col("s_a"), F.col("s_b"), folds) * (100 + threshold) <= (F.col("n_a") + F.col("n_b")) * (100 - threshold)).select("a", "b")
+
 
+def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
-def sweep(flat: np.ndarray, sizes: np.ndarray, threshold: int, label: np.ndarray | None = None) -> np.ndarray:
-    """Labels of the components of sets that lie end to end in ``flat``."""
-    label = np.arange(len(sizes)) if label is None else label
+
+def compared(cell: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Edges (a, b) that join the components of members (uid, n, sketch, label, half) of a cell whose sketches are near.
+
+    Members of half 0 meet members of half 1; in a cell of one half (-1) all members meet.
+    """
+    uid, n = cell["uid"].to_numpy(), cell["n"].to_numpy()
+    half = cell["half"].to_numpy()
+    words = min(len(x) for x in cell["sketch"])
+    bits = np.stack([_fold(np.asarray(x, np.int64).view(np.uint64), words) for x in cell["sketch"]])
+    _, label = np.unique(cell["label"].to_numpy(), return_inverse=True)
+    a, b = [], []
+    other = np.flatnonzero(half != 0)
+    for i in np.flatnonzero(half != 1):
+        rest = other[label[other] != label[i]]
+        if not len(rest):
+            continue
+        apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        close = (apart * (100 + threshold) <= (n[rest] + n[i]) * (100 - threshold)) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * threshold)
+        for x in np.unique(label[rest[close]]):
+            b.append(uid[rest[close]][np.argmax(label[rest[close]] == x)])
+            a.append(uid[i])
+            label[label == x] = label[i]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def unsettled(members: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, uid, label of the members, but for the centres, of buckets in which these are not all of one component.
+
+    Of buckets with the same members one is enough.
+    """
+    rest = members.join(centres, "key").where("uid <> centre").join(labels, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
+    mark = F.xxhash64("uid", F.lit(7)).cast("decimal(38,0)")
+    sums = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("uid").alias("sum"), F.sum(mark).alias("marks"))
+    open_ = sums.where("low < high").groupBy("low", "high", "size", "sum", "marks").agg(F.min("key").alias("key"))
+    return rest.join(open_.select("key", "size"), "key")
+
+
+def cells(rest: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
+    """Edges between near members of different components of the buckets ``rest`` (key, uid, label, size).
+
+    A bucket of more than CELL members is dealt to k parts and each two parts, and each part alone, are a
+    cell, so that a cell has a bounded size and a member goes to k of them.
+    """
+    k = F.ceil(F.col("size") / CELL).cast("int")
+    dealt = rest.join(sketched, "uid").withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("k")).cast("int"))
+    placed = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    half = F.when(F.col("part") == F.col("other"), -1).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    placed = placed.select("key", low.alias("i"), high.alias("j"), half.alias("half"), "uid", "n", "label", "sketch")
+    return placed.groupBy("key", "i", "j").applyInPandas(lambda cell: compared(cell, threshold), "a long, b long")
+
+
+def sweep(flat: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Labels of the components of sets that lie end to end in ``flat``.
+
+    The next centre is of the component that has the fewest members which were none; those of one component need no comparison.
+    """
+    label = np.arange(len(sizes))
     starts = np.cumsum(sizes) - sizes
     values, number = np.unique(flat, return_inverse=True)
     mark = np.zeros(len(values), np.int64)
-    for c in range(len(sizes)):
-        if (label == label[0]).all():
-            break
+    waiting = np.ones(len(sizes), bool)
+    while True:
+        at = np.flatnonzero(waiting)
+        crowd = np.bincount(label[at], minlength=len(sizes))
+        if (crowd > 0).sum() < 2:
+            return label
+        c = at[np.argmin(crowd[label[at]])]
+        waiting[c] = False
         own = number[starts[c] : starts[c] + sizes[c]]
         mark[own] = 1
         shared = np.add.reduceat(mark[number], starts)
@@ -211,7 +307,6 @@ def sweep(flat: np.ndarray, sizes: np.ndarray, threshold: int, label: np.ndarray
         linked = 100 * shared >= threshold * (sizes + sizes[c] - shared)
         joined = np.unique(label[linked])
         label = np.where(np.isin(label, joined), joined[0], label)
-    return label
 
 
 def _verified(blocks: DataFrame, rows: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -231,39 +326,15 @@ def _verified(blocks: DataFrame, rows: DataFrame, width: int, threshold: int) ->
     return rows.select("uid", "text").join(blocks.hint("merge"), "uid").groupBy("lot").applyInPandas(lot, "uid long, label long")
 
 
-def _by_prefix(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> DataFrame:
-    """uid, block, n of members (uid, n) of large blocks, in blocks that a second exact filter leaves.
-
-    Sketch parts also agree where many documents share a passage. In an order of shingles by
-    rising frequency, the first n - ceil(t n / 100) + 1 shingles of two linked sets have one in common,
-    and those of common passages come last.
-    """
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for uids, units, _ in in_batches(batches, _words()):
-            key, doc = shingle_sets(units, width)
-            yield pd.DataFrame({"uid": uids[doc], "key": key.view(np.int64)})
-
-    sizes = members.select("uid", "n")
-    elements = written(rows.select("uid", "text").join(sizes.select("uid").hint("merge"), "uid").mapInPandas(part, "uid long, key long"), "ngram-elements")
-    common = elements.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    nth = F.row_number().over(Window.partitionBy("uid").orderBy("times", "key"))
-    prefix = elements.join(common, "key").withColumn("nth", nth).join(sizes, "uid")
-    prefix = prefix.where("times > 1").where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
-    stars = prefix.select("uid", F.min("uid").over(Window.partitionBy("key")).alias("least")).groupBy("uid").agg(F.collect_set("least").alias("centres"))
-    stars = stars.select(F.explode(F.array_append("centres", F.col("uid"))).alias("a"), F.array_min("centres").alias("b")).where("a <> b").distinct()
-    return written(connected(written(stars, "ngram-stars")).withColumnRenamed("label", "block").join(sizes, "uid"), "ngram-blocks")
-
-
 def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> DataFrame:
     """uid, label of the members (uid, block, n) of blocks that no single task could hold.
 
     Members lie in chunks of bounded size. Each round sends up to CENTRES members of a block,
     which have not been centres yet, to all of its chunks; links that are found join labels.
-    A block is done when it has one label or all its members have been centres.
+    A block is done when its members that have not been centres have one label.
     """
-    upto = F.sum("n").over(_order("block", "uid"))
-    dealt = written(members.select("uid", "block", F.floor(upto / LOT).alias("chunk")), "large-members")
+    total = members.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK).alias("chunks"))
+    dealt = written(members.join(total, "block").select("uid", "block", F.pmod(F.xxhash64("uid"), F.col("chunks")).alias("chunk")), "large-members")
     texts = written(rows.select("uid", "text").join(dealt, "uid").select("uid", "text", "block", "chunk"), "large-texts")
     labels = written(dealt.select("uid", "block", F.col("uid").alias("label"), F.lit(False).alias("used")), "large-labels")
 
@@ -283,65 +354,80 @@ def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> D
             b.append(np.full(len(linked), uid))
         return pd.DataFrame({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
 
+    most = CENTRES
     while True:
-        open_blocks = labels.groupBy("block").agg(F.countDistinct("label").alias("labels"), F.min("used").alias("all_used")).where("labels > 1 AND NOT all_used").select("block")
+        # members of the largest components come last: most others are linked with them already
+        crowd = labels.where("NOT used").groupBy("block", "label").agg(F.count(F.lit(1)).alias("crowd"))
+        open_blocks = crowd.groupBy("block").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("block")
         if open_blocks.isEmpty():
+            discard(dealt, texts)
             return labels.select("uid", "label")
-        # members of the largest components come last: most others are linked with them already
-        crowd = labels.groupBy("block", "label").agg(F.count(F.lit(1)).alias("crowd"))
         waiting = labels.where("NOT used").join(open_blocks, "block").join(crowd, ["block", "label"])
-        turn = F.row_number().over(_order("block", "crowd", F.xxhash64("uid")))
-        centres = written(waiting.select("block", "uid", turn.alias("turn")).where(F.col("turn") <= CENTRES).select("block", "uid"), "large-centres")
+        # the first by this order in each of as many hash ranges: no block is sorted in one task
+        first = waiting.groupBy("block", F.pmod(F.xxhash64("uid"), F.lit(most)).alias("range")).agg(F.min_by("uid", F.struct("crowd", "uid")).alias("uid"))
+        centres = written(first.select("block", "uid"), "large-centres")
         sent = written(texts.select("uid", "text").join(centres.select("uid", "block"), "uid").join(dealt.select("block", "chunk").distinct(), "block"), "large-sent")
         found = texts.join(open_blocks, "block").groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInPandas(chunk, "a long, b long")
         groups = connected(labels.select(F.col("uid").alias("a"), F.col("label").alias("b")).unionByName(found))
         used = centres.select("uid", F.lit(True).alias("now"))
+        before = labels, centres, sent, groups
         labels = written(
             labels.join(groups.withColumnRenamed("label", "least"), "uid", "left")
             .join(used, "uid", "left")
             .select("uid", "block", F.coalesce("least", "label").alias("label"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")),
             "large-labels",
         )
+        discard(*before)
+        most *= 4
 
 
-def _order(by: str, *order):
-    return Window.partitionBy(by).orderBy(*order)
-
-
-def ngram_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lot: int = LOT, block: int = BLOCK) -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that can be reached by links)."""
-    return _components(numbered(docs, id_col, text_col), width, threshold, lot, block)
-
-
-def _components(rows: DataFrame, width: int, threshold: int, lot: int = LOT, block: int = BLOCK) -> DataFrame:
+    return _components(numbered(docs, id_col, text_col), width, threshold)
+
+
+def blocks_of(found: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """uid, block, n: components of representatives whose sketches are near."""
+    members = buckets(found, classes)
+    sketched = found.where("size(keys0) + size(keys1) > 0").select("uid", "n", "sketch")
+    centres = written(members.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre"), "ngram-centres")
+    stars = members.join(centres, "key").where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
+    edges = written(near(stars, sketched, threshold), "ngram-near")
+    labels = connected(edges)
+    rest = written(unsettled(members, centres, labels), "ngram-unsettled")
+    discard(members, centres)
+    if not rest.isEmpty():
+        more = written(cells(rest, sketched, threshold), "ngram-cells")
+        both = written(edges.unionByName(more).distinct(), "ngram-near")
+        discard(labels, edges, more)
+        edges, labels = both, connected(both)
+    discard(edges, rest)
+    blocks = written(labels.withColumnRenamed("label", "block").join(found.select("uid", "n"), "uid"), "ngram-blocks")
+    discard(labels)
+    release_shuffles(found.sparkSession)
+    return blocks
+
+
+def _components(rows: DataFrame, width: int, threshold: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, uid, component of each row (uid, doc_id, text)."""
     found = written(features(rows, width, threshold), "ngram-features")
     classes = written(found.where("n > 0").groupBy("class").agg(F.min("uid").alias("rep")), "ngram-classes")
-    keyed = found.select("uid", F.explode("keys").alias("key"))
-    least = F.min("uid").over(Window.partitionBy("key"))
-    # a member's stars around several centres become one around the smallest of them, which most others share
-    far = keyed.select("uid", least.alias("least")).where("uid <> least").groupBy("uid").agg(F.collect_set("least").alias("centres"))
-    far = far.select(F.explode(F.array_append("centres", F.col("uid"))).alias("a"), F.array_min("centres").alias("b")).where("a <> b").distinct()
-    stars = written(far.unionByName(found.select(F.col("uid").alias("a"), F.col("near").alias("b")).where("b IS NOT NULL")), "ngram-stars")
-    release_shuffles(rows.sparkSession)
-    candidates = connected(stars).withColumnRenamed("label", "block")
-    candidates = written(candidates.join(found.select("uid", "n"), "uid"), "ngram-blocks")
-    total = lambda blocks: blocks.groupBy("block").agg(F.sum("n").alias("total"))
-    large = total(candidates).where(F.col("total") > block).select("block")
-    if not large.isEmpty():
-        narrower = _by_prefix(candidates.join(large, "block"), rows, width, threshold)
-        candidates = written(candidates.join(large, "block", "left_anti").unionByName(narrower.select(*candidates.columns)), "ngram-blocks")
-    large = total(candidates).where(F.col("total") > 4 * block).select("block")
-    lots = max(1, (candidates.agg(F.sum("n")).first()[0] or 0) // lot)
-    small = total(candidates).where(F.col("total") <= 4 * block).select("block", F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot"))
-    labels = written(_verified(candidates.select("uid", "block").join(small, "block"), rows, width, threshold), "ngram-labels")
+    blocks = blocks_of(found, classes, threshold)
+    plain = written(found.select("uid", "n", "class"), "ngram-sets")
+    discard(found)
+    total = blocks.groupBy("block").agg(F.sum("n").alias("total"))
+    lots = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // LOT)
+    small = total.where(F.col("total") <= BLOCK).select("block", F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot"))
+    labels = written(_verified(blocks.select("uid", "block").join(small, "block"), rows, width, threshold), "ngram-labels")
+    large = written(total.where(F.col("total") > BLOCK).select("block"), "ngram-large")
     if not large.isEmpty():
-        labels = labels.unionByName(_large(candidates.join(large, "block"), rows, width, threshold))
+        labels = labels.unionByName(_large(blocks.join(large, "block"), rows, width, threshold))
     release_shuffles(rows.sparkSession)
     least = labels.groupBy("label").agg(F.min("uid").alias("component")).join(labels, "label").select("uid", "component")
     named = classes.join(least, classes["rep"] == least["uid"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     names = rows.select("uid", "doc_id")
     named = named.join(names.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id")), "component").select("class", "component", "component_id")
-    placed = lookup(found.select("uid", "n", "class"), named, "class", ["component", "component_id"])
+    placed = lookup(plain, named, "class", ["component", "component_id"])
     placed = placed.join(names, "uid")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "uid", F.coalesce("component", "uid").alias("component"))
 
@@ -354,12 +440,14 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOL
     rows = numbered(docs, id_col, text_col)
     found = _components(rows, width, threshold)
     id_ = F.col(f"`{id_col}`")
+    one, two = fresh(docs, "one"), fresh(docs, "two")
     if rows.where("uid <> doc_id OR doc_id IS NULL").isEmpty():
-        gone = found.where("component <> uid").select(F.col("uid").alias("__gone"))
-        return docs.join(gone.hint("shuffle_hash"), id_ == F.col("__gone"), "left_anti")
-    first = found.where("component = uid").select("uid").join(rows, "uid").select(F.col("doc_id").alias("__id"), F.md5("text").alias("__text")).distinct()
-    kept = docs.withColumn("__md5", F.md5(text_of(text_col))).join(first, id_.eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text")), "left_semi")
-    return kept.dropDuplicates([id_col, "__md5"]).drop("__md5")
+        gone = found.where("component <> uid").select(F.col("uid").alias(one))
+        return docs.join(gone, id_ == F.col(one), "left_anti")
+    first = found.where("component = uid").select("uid").join(rows, "uid").select(F.col("doc_id").alias(one), F.md5("text").alias(two)).distinct()
+    mark = fresh(docs, "mark")
+    kept = docs.withColumn(mark, F.md5(text_of(text_col))).join(first, id_.eqNullSafe(F.col(one)) & (F.col(mark) == F.col(two)), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import new_path, release_shuffles, remove, shared_dir, written
+from ..sources.tables import discard, new_path, release_shuffles, remove, shared_dir, written
 
-__all__ = ["new_path", "release_shuffles", "remove", "shared_dir", "written"]
+__all__ = ["discard", "new_path", "release_shuffles", "remove", "shared_dir", "written"]
 
 #: A word is a longest run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,14 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as a column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, columns: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Left join of many rows with a table that is unique on ``key`` (binary), safe for hot keys.
 

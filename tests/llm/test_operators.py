@@ -188,9 +188,50 @@ def test_ngram_components(docs, rows, spark, width, threshold):
 
 def test_ngram_components_of_blocks_that_no_task_holds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOT", 300)
+    monkeypatch.setattr(ngram_join, "BLOCK", 200)
     monkeypatch.setattr(ngram_join, "CENTRES", 3)
-    found = ngram_join.ngram_components(make(spark, near_rows(), 7), 3, 90, lot=300, block=50).select("doc_id", "n_shingles", "component_id")
-    assert {tuple(r) for r in found.collect()} == brute_components(near_rows(), 3, 90)
+    for width, threshold in ((3, 90), (5, 80)):
+        found = ngram_join.ngram_components(make(spark, near_rows(), 7), width, threshold).select("doc_id", "n_shingles", "component_id")
+        assert {tuple(r) for r in found.collect()} == brute_components(near_rows(), width, threshold)
+
+
+def chained_rows(n=260):
+    """One text whose words are replaced, one for each document, in turn: near links make a chain, few documents are near its start."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = list(words)
+        words[i * 7 % 60] = f"n{i}"
+        rows.append((i * 37 % 1009, " ".join(words), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("width,threshold", [(1, 90), (2, 80), (3, 90)])
+def test_ngram_components_of_chains_in_cells(spark, monkeypatch, width, threshold):
+    monkeypatch.setattr(ngram_join, "CELL", 20)
+    own = chained_rows()
+    found = ngram_join.ngram_components(make(spark, own, 3), width, threshold).select("doc_id", "n_shingles", "component_id")
+    assert {tuple(r) for r in found.collect()} == brute_components(own, width, threshold)
+
+
+def test_ngram_join_of_documents_that_share_a_passage(spark):
+    """10,000 documents with one passage in common, of which some hundred are near copies: no block of the others forms."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    own = []
+    for i in range(10_000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        if i % 100 == 99:
+            words = own[-1][1].split()[:60]
+            words[5] = f"e{i}"
+        own.append((i, " ".join(words + passage), "s"))
+    df = make(spark, own, 8).select("doc_id", "text")
+    rows = ngram_join.numbered(df)
+    found = ngram_join.written(ngram_join.features(rows, 5, 80), "test-features")
+    classes = found.groupBy("class").agg(F.min("uid").alias("rep"))
+    assert ngram_join.blocks_of(found, classes, 80).groupBy("block").count().agg(F.max("count")).first()[0] <= 4
+    labels = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, 5, 80).collect()}
+    assert labels == {i: i - (i % 100 == 99) for i, _, _ in own}
 
 
 def test_one_of_each_keeps_all_columns_and_one_document(spark):
