@@ -39,14 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .sequences import in_batches, windows_of
-from .shared import WordHashes, discard, fresh, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_of, written
+from .sequences import bucket_count, in_batches, windows_of
+from .shared import WordHashes, discard, fresh, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_bytes, text_of, written
 
 SHINGLE = 3
 THRESHOLD = 90
 PART_BITS = 1024
 #: Parts of a sketch for each element in which linked sets can differ.
 SPARE = 1.6
+#: Bytes of text whose keys one bucket counts.
+BUCKET_BYTES = 24 << 20
 #: Bits of the sketches that are held against each other, for each element, at least.
 BITS = 4
 #: Members of a bucket that one cell compares with another such number.
@@ -87,33 +89,40 @@ def bands(threshold: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def differ(size: np.ndarray, largest: np.ndarray, threshold: int) -> np.ndarray:
-    """Elements that sets of ``size`` and of at most ``largest``, if linked, have not in common.
+def joints_of(sizes: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For both joint bands of sets: the joint band, its parts, and in how many elements a set can differ from what it links with there.
 
-    From 100 I >= t U and U = a + b - I follows a + b - 2 I <= (a + b)(100 - t) / (100 + t), and b <= 100 a / t.
+    In joint band j, sets of band j meet each other and those of band j + 1. From 100 I >= t U and
+    U = a + b - I follows a + b - 2 I <= (a + b)(100 - t) / (100 + t), where b <= 100 a / t. Sets that
+    can link with equal sets only have no parts.
     """
-    return np.minimum(size * (100 - threshold) // threshold, (size + largest) * (100 - threshold) // (100 + threshold))
+    low = bands(threshold)
+    band = np.searchsorted(low, np.maximum(sizes, 1), "right") - 1
+    for joint in (band, band - 1):
+        top = low[joint + 1] - 1
+        differ = sizes * (100 - threshold) // threshold
+        if joint is not band:
+            differ = np.minimum(differ, (sizes + top) * (100 - threshold) // (100 + threshold))
+        yield joint, np.where((differ > 0) & (joint >= 0), parts_of(joint, threshold), 0), differ
 
 
 def parts_of(joint: np.ndarray, threshold: int) -> np.ndarray:
     """Parts of a joint band, more than elements of linked sets in it can differ by."""
-    largest = bands(threshold)[joint + 1] - 1
-    most = 2 * largest * (100 - threshold) // (100 + threshold)
+    low = bands(threshold)
+    top, next_top = low[joint + 1] - 1, low[joint + 2] - 1
+    most = np.maximum(top * (100 - threshold) // threshold, (top + next_top) * (100 - threshold) // (100 + threshold))
     return np.maximum(most + 1, (SPARE * most).astype(np.int64))
 
 
-def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For either joint band of a document: digests of its sketch's parts, how many each document has, and its slack.
+def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the parts of documents' sketches in both joint bands, their documents, and either slack of each document.
 
-    Slack is how many of the digests may be left out, the most frequent ones: the others are one more than a
-    linked set can differ in. Empty parts come last in any order and are given only where others are too few. Documents
-    that can link with equal sets only give none.
+    The last bit of a digest is that of its joint band's number, and so is the place of a slack. Slack is how many of
+    these digests may be left out, the most frequent ones: the others are one more than a
+    linked set can differ in. Empty parts come last in any order and are given only where others are too few.
     """
-    band = np.searchsorted(bands(threshold), np.maximum(sizes, 1), "right") - 1
-    out = []
-    for joint in (band, band + 1):
-        most = differ(sizes, bands(threshold)[joint + 1] - 1, threshold)
-        parts = np.where(most > 0, parts_of(joint, threshold), 0)
+    digests, docs, slack = [], [], np.zeros((len(sizes), 2), np.int64)
+    for joint, parts, most in joints_of(sizes, threshold):
         offset = np.cumsum(parts) - parts
         salt = mixed(joint.astype(np.uint64) * odd_numbers(1, 31)[0])
         own = parts[doc] > 0
@@ -122,23 +131,26 @@ def part_keys(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, threshold: in
         digest = np.zeros(int(parts.sum()), np.uint64)
         np.bitwise_xor.at(digest, offset[holder] + (bit // np.uint64(PART_BITS)).astype(np.int64), mixed(bit ^ odd_numbers(1, 32)[0]))
         filled, holder = digest != 0, np.repeat(np.arange(len(sizes)), parts)
-        lacking = np.maximum(most + 1 - np.bincount(holder, filled, len(sizes)).astype(np.int64), 0) * (parts > 0)
+        lacking = np.maximum(most + 1 - np.bincount(holder, filled, len(sizes)).astype(np.int64), 0)
         empties = np.cumsum(~filled)
         nth = empties - np.repeat(np.r_[0, empties][offset], parts)
         given = filled | (nth <= lacking[holder])
         number = np.arange(len(digest)) - np.repeat(offset, parts)
         digest = mixed(digest ^ mixed(np.repeat(salt, parts) + number.astype(np.uint64) * odd_numbers(1, 33)[0]))
-        counts = np.bincount(holder, given, len(sizes)).astype(np.int64)
-        out.append((digest[given].view(np.int64), counts, np.where(parts > 0, counts - most - 1, 0)))
-    return out
+        parity = (joint & 1).astype(np.uint64)
+        digests.append((digest[given] & ~np.uint64(1)) | parity[holder[given]])
+        docs.append(holder[given])
+        some = np.flatnonzero(parts)
+        slack[some, joint[some] & 1] = np.bincount(docs[-1], minlength=len(sizes))[some] - most[some] - 1
+    return np.concatenate(digests), np.concatenate(docs), slack
 
 
 def sketches(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of 64 bits, and how many each document has: a power of two, with BITS bits for each element or more.
+    """Words of 64 bits, and how many each document has: a power of two, with BITS bits for each element or more (none for none).
 
     A sketch of half as many words is the XOR of a sketch's halves.
     """
-    words = 1 << np.ceil(np.log2(np.maximum(BITS * sizes / 64, 1))).astype(np.int64)
+    words = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(BITS * sizes / 64, 1))).astype(np.int64), 0)
     offset = np.cumsum(words) - words
     bit = mixed(key ^ odd_numbers(1, 34)[0])
     out = np.zeros(int(words.sum()), np.uint64)
@@ -150,14 +162,47 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values))
 
 
-FEATURES = "uid long, n long, class binary, sketch array<long>, keys0 array<long>, slack0 int, keys1 array<long>, slack1 int"
+SETS = "uid long, n long, class binary, sketch array<long>, slack array<int>, repeated array<long>"
+PACKED = "bucket int, keys binary, docs binary, counts binary, repeats binary, times binary"
 
 
-def features(rows: DataFrame, width: int, threshold: int) -> DataFrame:
-    """uid, n (size of the set), class (128 bits that equal sets share), sketch, and keys and slack of both joint bands.
+def packed(digest: np.ndarray, doc: np.ndarray, uids: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple]]:
+    """Which of a batch's digests occur in it repeatedly, and its rows of PACKED for ``n`` buckets.
 
-    Of equal sets in a batch only the first has a sketch and keys.
+    A digest that one document has travels with it; documents are given once for all of their digests of a
+    bucket. One that several have travels once, with their number.
     """
+    order = np.argsort(digest, kind="stable")
+    starts = np.flatnonzero(np.r_[True, digest[order][1:] != digest[order][:-1]]) if len(digest) else np.empty(0, np.int64)
+    held = np.diff(np.r_[starts, len(digest)])
+    repeated = np.zeros(len(digest), bool)
+    repeated[order[np.repeat(held > 1, held)]] = True
+    lone, many = np.flatnonzero(~repeated), order[starts[held > 1]]
+    place = lambda at: ((digest[at] >> np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    lone, times = lone[np.lexsort((doc[lone], place(lone)))], held[held > 1]
+    turn = np.argsort(place(many), kind="stable")
+    many, times = many[turn], times[turn]
+    low, low_many = (np.searchsorted(place(at), np.arange(n + 1)) for at in (lone, many))
+    rows = []
+    for b in np.flatnonzero((np.diff(low) > 0) | (np.diff(low_many) > 0)).tolist():
+        own, others = lone[low[b] : low[b + 1]], slice(low_many[b], low_many[b + 1])
+        holders, counts = np.unique(doc[own], return_counts=True)
+        rows.append((b, digest[own].tobytes(), uids[holders].tobytes(), counts.astype("<u4").tobytes(), digest[many[others]].tobytes(), times[others].astype("<u4").tobytes()))
+    return repeated, rows
+
+
+def features(rows: DataFrame, width: int, threshold: int, n_buckets: int) -> DataFrame:
+    """Rows of SETS, one for each document, and of PACKED, one for each bucket of a batch.
+
+    n is the size of the set, class 128 bits that equal sets share, ``repeated`` those keys that other documents of the
+    batch have too. Of equal sets in a batch only the first has a sketch and keys.
+    """
+    names = [x.split()[0] for x in f"{SETS}, {PACKED}".split(", ")]
+    kinds = {"uid": pa.int64(), "n": pa.int64(), "class": pa.binary(), "sketch": pa.list_(pa.int64()), "slack": pa.list_(pa.int32()), "repeated": pa.list_(pa.int64()), "bucket": pa.int32()}
+
+    def table(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(n, kinds.get(x, pa.binary()))) for x in names], names)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = odd_numbers(2, 30)
@@ -176,31 +221,55 @@ def features(rows: DataFrame, width: int, threshold: int) -> DataFrame:
             leads &= full
             own = leads[doc]
             key, doc, led = key[own], doc[own], np.where(leads, sizes, 0)
-            (keys0, counts0, slack0), (keys1, counts1, slack1) = part_keys(key, doc, led, threshold)
             bits, words = sketches(key, doc, led)
-            columns = [pa.array(uids), pa.array(sizes), pa.array([x.tobytes() for x in sums], pa.binary()), _lists(bits, words), _lists(keys0, counts0), pa.array(slack0.astype(np.int32)), _lists(keys1, counts1), pa.array(slack1.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FEATURES.split(", ")])
-
-    return rows.select("uid", "text").mapInArrow(part, FEATURES)
+            digest, holder, slack = part_keys(key, doc, led, threshold)
+            again, out = packed(digest, holder, uids, n_buckets)
+            at = np.flatnonzero(again)[np.argsort(holder[again], kind="stable")]
+            repeated = _lists(digest[at].view(np.int64), np.bincount(holder[at], minlength=len(uids)))
+            slacks = _lists(slack.astype(np.int32).ravel(), np.full(len(uids), 2))
+            yield table({"uid": pa.array(uids), "n": pa.array(sizes), "class": pa.array([x.tobytes() for x in sums], pa.binary()), "sketch": _lists(bits, words), "slack": slacks, "repeated": repeated})
+            if out:
+                yield table({x: pa.array(c, kinds.get(x, pa.binary())) for x, c in zip(names[6:], zip(*out, strict=True), strict=True)})
+
+    return rows.select("uid", "text").mapInArrow(part, f"{SETS}, {PACKED}")
+
+
+def counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """key, times, uid of the keys of one bucket that occur more than once; uid is null where a batch holds the key repeatedly."""
+    read = lambda name, kind: [np.frombuffer(x, kind) for x in rows[name]]
+    uid = np.concatenate([np.repeat(d, c) for d, c in zip(read("docs", "<i8"), read("counts", "<u4"), strict=True)])
+    key, repeats = np.concatenate(read("keys", "<u8")), np.concatenate(read("repeats", "<u8"))
+    both = np.concatenate([key, repeats])
+    order = np.argsort(both, kind="stable")
+    starts = np.flatnonzero(np.r_[True, both[order][1:] != both[order][:-1]])
+    held = np.concatenate([np.ones(len(key), np.int64), np.concatenate(read("times", "<u4")).astype(np.int64)])
+    total, n = np.add.reduceat(held[order], starts), np.diff(np.r_[starts, len(both)])
+    total = np.repeat(total, n)
+    at = order[total > 1]
+    lone = at < len(key)
+    holder = pd.Series(np.where(lone, np.r_[uid, 0][np.where(lone, at, len(key))], 0), dtype="Int64").mask(~lone)
+    return pd.DataFrame({"key": both[at].view(np.int64), "times": total[total > 1], "uid": holder})
 
 
 def buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, uid: the keys by which representatives meet, each with two members at least.
+    """key, uid: the keys by which representatives meet.
 
-    Counting combines on the map side, and counts go back by a join whose skew Spark can split.
+    Batches have combined their own keys, so a key's bucket gets one entry for each batch at most. Counts go back to
+    what is repeated within a batch by a join whose skew Spark can split.
     """
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"slack{i}").alias("slack"), F.col(f"keys{i}").alias("keys")) for i in (0, 1)])
-    keyed = found.select("uid", F.inline(sides)).select("uid", "side", "slack", F.explode("keys").alias("key"))
-    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "ngram-counts")
+    sets = found.where("uid IS NOT NULL")
+    shared = written(found.where("bucket IS NOT NULL").select(*[x.split()[0] for x in PACKED.split(", ")]).groupBy("bucket").applyInPandas(counted, "key long, times long, uid long"), "ngram-shared")
     release_shuffles(found.sparkSession)
-    common = keyed.join(counts, "key").groupBy("uid", "side", "slack").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
-    rarest = common.where(F.size("keys") > F.col("slack")).select("uid", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("slack"))["key"]).alias("key"))
-    moved = found.where("size(keys0) + size(keys1) > 0").join(classes, "class").where("uid <> rep").select("uid", "rep")
-    members = rarest.join(moved, "uid", "left").select("key", F.coalesce("rep", "uid").alias("uid")).distinct()
-    table = written(members, "ngram-members")
-    discard(counts)
+    within = sets.select("uid", F.explode("repeated").alias("key")).join(shared.groupBy("key").agg(F.max("times").alias("times")), "key")
+    pairs = shared.where("uid IS NOT NULL").unionByName(within)
+    ranked = pairs.groupBy("uid", F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("side")).agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
+    ranked = ranked.join(sets.where("size(sketch) > 0").select("uid", "slack"), "uid").withColumn("most", F.size("keys") - F.get("slack", F.col("side")))
+    rarest = ranked.where("most > 0").select("uid", F.explode(F.slice("keys", F.lit(1), F.col("most"))["key"]).alias("key"))
+    moved = sets.where("size(sketch) > 0").join(classes, "class").where("uid <> rep").select("uid", "rep")
+    members = written(rarest.join(moved, "uid", "left").select("key", F.coalesce("rep", "uid").alias("uid")).distinct(), "ngram-members")
+    discard(shared)
     release_shuffles(found.sparkSession)
-    return table
+    return members
 
 
 def _distance(a: Column, b: Column, folds: int) -> Column:
@@ -389,7 +458,8 @@ def ngram_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THR
 def blocks_of(found: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """uid, block, n: components of representatives whose sketches are near."""
     members = buckets(found, classes)
-    sketched = found.where("size(keys0) + size(keys1) > 0").select("uid", "n", "sketch")
+    found = found.where("uid IS NOT NULL")
+    sketched = found.select("uid", "n", "sketch")
     centres = written(members.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre"), "ngram-centres")
     stars = members.join(centres, "key").where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
     edges = written(near(stars, sketched, threshold), "ngram-near")
@@ -410,10 +480,10 @@ def blocks_of(found: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
 
 def _components(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, n_shingles, component_id, uid, component of each row (uid, doc_id, text)."""
-    found = written(features(rows, width, threshold), "ngram-features")
+    found = written(features(rows, width, threshold, bucket_count(text_bytes(rows), BUCKET_BYTES)), "ngram-features")
     classes = written(found.where("n > 0").groupBy("class").agg(F.min("uid").alias("rep")), "ngram-classes")
     blocks = blocks_of(found, classes, threshold)
-    plain = written(found.select("uid", "n", "class"), "ngram-sets")
+    plain = written(found.where("uid IS NOT NULL").select("uid", "n", "class"), "ngram-sets")
     discard(found)
     total = blocks.groupBy("block").agg(F.sum("n").alias("total"))
     lots = max(1, (blocks.agg(F.sum("n")).first()[0] or 0) // LOT)

@@ -195,7 +195,7 @@ def test_ngram_components_of_blocks_that_no_task_holds(spark, monkeypatch):
         assert {tuple(r) for r in found.collect()} == brute_components(near_rows(), width, threshold)
 
 
-def chained_rows(n=260):
+def chained_rows(n=130):
     """One text whose words are replaced, one for each document, in turn: near links make a chain, few documents are near its start."""
     words = [f"w{i}" for i in range(60)]
     rows = []
@@ -206,7 +206,7 @@ def chained_rows(n=260):
     return rows
 
 
-@pytest.mark.parametrize("width,threshold", [(1, 90), (2, 80), (3, 90)])
+@pytest.mark.parametrize("width,threshold", [(1, 90), (2, 80)])
 def test_ngram_components_of_chains_in_cells(spark, monkeypatch, width, threshold):
     monkeypatch.setattr(ngram_join, "CELL", 20)
     own = chained_rows()
@@ -227,8 +227,8 @@ def test_ngram_join_of_documents_that_share_a_passage(spark):
         own.append((i, " ".join(words + passage), "s"))
     df = make(spark, own, 8).select("doc_id", "text")
     rows = ngram_join.numbered(df)
-    found = ngram_join.written(ngram_join.features(rows, 5, 80), "test-features")
-    classes = found.groupBy("class").agg(F.min("uid").alias("rep"))
+    found = ngram_join.written(ngram_join.features(rows, 5, 80, 8), "test-features")
+    classes = found.where("n > 0").groupBy("class").agg(F.min("uid").alias("rep"))
     assert ngram_join.blocks_of(found, classes, 80).groupBy("block").count().agg(F.max("count")).first()[0] <= 4
     labels = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, 5, 80).collect()}
     assert labels == {i: i - (i % 100 == 99) for i, _, _ in own}
@@ -250,7 +250,7 @@ def test_parts_bound_what_linked_sets_differ_by():
             band_a, band_b = (int(np.searchsorted(low, x, "right")) - 1 for x in (a, b))
             assert band_b - band_a in (0, 1)
             most = max((a + b - 2 * i for i in range(a + 1) if 100 * i >= 90 * (a + b - i)), default=0)
-            assert most < ngram_join.parts_of(np.array([band_b]), 90)[0]
+            assert most < ngram_join.parts_of(np.array([band_a]), 90)[0]
 
 
 # 5, 8 ------------------------------------------------------------------------------------------
