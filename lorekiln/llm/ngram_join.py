@@ -48,7 +48,9 @@ PART_BITS = 1024
 #: Parts of a sketch for each element in which linked sets can differ.
 SPARE = 1.6
 #: Bytes of text whose keys one bucket counts.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
+#: Words of documents whose keys are combined before they are sent; with BUCKET_BYTES it bounds a Python worker's memory.
+BATCH_WORDS = 400_000
 #: Bits of the sketches that are held against each other, for each element, at least.
 BITS = 4
 #: Members of a bucket that one cell compares with another such number.
@@ -206,7 +208,7 @@ def features(rows: DataFrame, width: int, threshold: int, n_buckets: int) -> Dat
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = odd_numbers(2, 30)
-        for uids, units, _ in in_batches((b.to_pandas() for b in batches), _words()):
+        for uids, units, _ in in_batches((b.to_pandas() for b in batches), _words(), most=BATCH_WORDS):
             turn = np.argsort(uids, kind="stable")
             uids, units = uids[turn], [units[i] for i in turn]
             key, doc = shingle_sets(units, width)

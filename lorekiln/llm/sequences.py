@@ -29,8 +29,8 @@ def bucket_count(n_bytes: int, of_bytes: int = 8 << 20) -> int:
     return max(8, -(-n_bytes // of_bytes))
 
 
-def in_batches(batches: Iterable[pd.DataFrame], units_of: Callable[[str], np.ndarray], extra: str | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], list]]:
-    """uids, units of each document and what column ``extra`` holds, some BATCH_UNITS at a time."""
+def in_batches(batches: Iterable[pd.DataFrame], units_of: Callable[[str], np.ndarray], extra: str | None = None, most: int = BATCH_UNITS) -> Iterator[tuple[np.ndarray, list[np.ndarray], list]]:
+    """uids, units of each document and what column ``extra`` holds, as soon as there are ``most`` units."""
     uids, units, more, total = [], [], [], 0
     for rows in batches:
         beside = rows[extra] if extra else [None] * len(rows)
@@ -40,7 +40,7 @@ def in_batches(batches: Iterable[pd.DataFrame], units_of: Callable[[str], np.nda
             units.append(found)
             more.append(x)
             total += len(found)
-            if total >= BATCH_UNITS:
+            if total >= most:
                 yield np.array(uids, np.int64), units, more
                 uids, units, more, total = [], [], [], 0
     if uids:
