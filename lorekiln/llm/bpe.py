@@ -28,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a part that is encoded at once.
-LEAF = 8192
+from .shared import kind_of
+
+#: Characters of a part that is encoded at once, and ids of one that is decoded at once.
+LEAF = 512
 _SOLID = regex.compile(r"\S")
 _GAP = regex.compile(r"[\x20\x09-\x0D]")
 _SAFE = regex.compile(r"(?<=\S)(?=[\x20\x09-\x0D])")
@@ -123,10 +125,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = Tree(encoder(ranks, pattern), leaf)
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": [tree.encode(x or "") for x in rows["text"]]})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].array, "ids": [tree.encode(x or "") for x in rows["text"]]})
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(part, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInPandas(part, f"doc_id {kind_of(docs, id_col)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -137,7 +139,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows["doc_id"], "bytes": [tree.decode([int(i) for i in ids]) for ids in rows["ids"]]})
 
-    return encoded.mapInPandas(part, "doc_id long, bytes binary")
+    return encoded.mapInPandas(part, f"doc_id {kind_of(encoded, 'doc_id')}, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
@@ -154,5 +156,5 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             made.insert(0, "doc_id", rows["doc_id"].array)
             yield made
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(part, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInPandas(part, f"doc_id {kind_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import collected, fold, sample
+from .shared import kind_of
 
 #: Labelled rows of either class at most that the model is fitted on.
 SAMPLE = 10_000
@@ -171,9 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in batches:
-            yield pd.DataFrame({"__doc": group["__doc"], "y": group["y"], "x": [features(t) for t in group["text"]]})
+            yield pd.DataFrame({"__doc": group["__doc"].array, "y": group["y"], "x": [features(t) for t in group["text"]]})
 
-    found = collected(rows.select(F.col("__doc").cast("long"), "text", "y").mapInPandas(part, "__doc long, y int, x array<double>"))
+    found = collected(rows.select("__doc", "text", "y").mapInPandas(part, f"__doc {kind_of(rows, '__doc')}, y int, x array<double>"))
     if not len(found):
         return Model(0.0)
     y = found["y"].to_numpy().astype(float)
@@ -187,10 +188,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in batches:
             x = np.array([features(t) for t in group["text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": group["doc_id"], "score": model.score(x)})
+            yield pd.DataFrame({"doc_id": group["doc_id"].array, "score": model.score(x)})
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(part, "doc_id long, score double")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInPandas(part, f"doc_id {kind_of(docs, id_col)}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -36,6 +36,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column, for a schema that keeps it."""
+    return df.select(F.col(f"`{column}`").alias("x")).schema["x"].dataType.simpleString()
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, columns: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Left join of many rows with a table that is unique on ``key`` (binary), safe for hot keys.
 
