@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, written
+from .shared import discard, text_of, written
 
 SHINGLE = 5
 BINS, BITS = 256, 4
@@ -112,9 +112,10 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _key(id_col, text).alias("key"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
-    rows = with_fingerprint(rows, F.col("text"), "packed").drop("text")
-    rows = rows.repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id())
-    rows = written(rows, "fingerprint-order")
+    # written first: the range partitioner samples its input, which would make every fingerprint a second time
+    made = written(with_fingerprint(rows, F.col("text"), "packed").drop("text"), "fingerprints")
+    rows = written(made.repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id()), "fingerprint-order")
+    discard(made)
     repeated = not rows.groupBy("key").count().where("count > 1").isEmpty()
     if repeated:
         rows = rows.dropDuplicates(["part", "key"])
