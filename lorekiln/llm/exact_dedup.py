@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HOT_KEYS, digest_of, lookup, text_of, written
+from .shared import HOT_KEYS, digest_of, fresh, lookup, text_of, written
 
 SALTS = 32
 
@@ -59,11 +59,13 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = written(assign(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest"), "times"), "exact-kept")
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (digest_of(text_of(text_col)) == F.col("__kept_digest"))
-    left = docs.join(kept.hint("shuffle_hash"), on, "left_semi")
+    one, two, mark = (fresh(docs, x) for x in ("kept_id", "kept_digest", "digest"))
+    kept = written(assign(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(one), F.col("digest").alias(two), "times"), "exact-kept")
+    winners = kept.select(one, two)
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(one)) & (digest_of(text_of(text_col)) == F.col(two))
+    left = docs.join(winners, on, "left_semi")
     if not kept.where("times > 1").isEmpty():
-        left = left.withColumn("__kept_digest", digest_of(text_of(text_col))).dropDuplicates([id_col, "__kept_digest"]).drop("__kept_digest")
+        left = left.withColumn(mark, digest_of(text_of(text_col))).dropDuplicates([id_col, mark]).drop(mark)
     return left
 
 
