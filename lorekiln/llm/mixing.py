@@ -10,13 +10,14 @@ source's target. All queues are merged in the order of these times, and the mix
 comes before the total budget is used up.
 
 Nothing is gathered by source: cumulative sizes are added up within (source, digest range)
-cells and offset by the sums of earlier cells, and the place where the budget ends is found by
-histograms over ranges of virtual time that narrow until few documents are left.
+cells and offset by the sums of earlier cells. The merged queue is one global range sort of slim entries: sizes
+are added up within each range, ranges are offset by the sums of earlier ones, and what comes after the
+budget is cut off.
 
 Defined results: null texts have size 0; documents of size 0 are never taken and never in the
 way; a null source is a source of its own; rows that repeat a doc_id queue separately in
 ``plan`` and share the smallest number of copies in ``mix``; an empty table gives an empty
-result. The order depends on doc_id and the seed only, so reruns agree.
+result. Equal finish times go by source, copy and digest. The order depends on doc_id and the seed only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, text_of, written
+from .shared import WORD, discard, fresh, text_of, written
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
-#: Cells of a histogram over virtual time, and so many entries at most are sorted in one task.
-CELLS = 4096
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
@@ -73,63 +72,47 @@ def _finish(turn: Column) -> Column:
     return (turn * F.col("source_size") + F.col("upto")) / F.when(F.col("target") > 0, F.col("target"))
 
 
-def _end(queued: DataFrame, budget: int) -> tuple[float, str, int, str] | None:
-    """The first entry, in merged order, that the budget has no room for."""
-    entries = queued.where("size > 0 AND target > 0").select("queue", "place", "size", F.explode(F.sequence(F.lit(0), F.lit(MOST_TIMES - 1))).alias("turn"), "source_size", "upto", "target")
-    entries = entries.select("queue", "place", "size", "turn", _finish(F.col("turn")).alias("finish"))
-    low, high, used = 0.0, entries.agg(F.max("finish")).first()[0], 0
-    if high is None:
-        return None
-    high = high * (1 + 1e-9) + 1e-9
-    while True:
-        width = (high - low) / CELLS
-        inside = entries.where((F.col("finish") >= low) & (F.col("finish") < high))
-        cell = F.least(F.floor((F.col("finish") - low) / width), F.lit(CELLS - 1)).alias("at")
-        before = used
-        rows = inside.groupBy(cell).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last")).orderBy("at").collect()  # CELLS rows at most
-        for row in rows:
-            if used + row["size"] > budget:
-                break
-            used += row["size"]
-        else:
-            return None
-        if row["n"] <= CELLS or row["first"] == row["last"] or len(rows) == 1 and used == before and (low, high) == (row["first"], row["last"]):
-            break
-        low, high = row["first"], float(_after(row["last"]))
-    merged = Window.orderBy("finish", "queue", "turn", "place").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.where((F.col("finish") >= row["first"]) & (F.col("finish") <= row["last"])).withColumn("total", F.sum("size").over(merged))
-    end = last.where(F.col("total") > budget - used).orderBy("total", "finish", "queue", "turn", "place").first()
-    return end["finish"], end["queue"], end["turn"], end["place"]
-
-
-def _after(x: float) -> float:
-    import math
-
-    return math.nextafter(x, math.inf)
+def _taken(queued: DataFrame, budget: int) -> DataFrame:
+    """queue, upto, copies: how often the mix takes each row of positive size; ``upto`` tells the rows of a queue apart."""
+    turns = F.explode(F.sequence(F.lit(0), F.lit(MOST_TIMES - 1))).alias("turn")
+    entries = queued.where("size > 0 AND target > 0").select("queue", "place", "size", turns, "source_size", "upto", "target")
+    entries = entries.select("queue", "place", "size", "turn", "upto", _finish(F.col("turn")).alias("finish"))
+    order = ["finish", "queue", "turn", "place", "upto"]
+    merged = written(entries.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-order")
+    parts = merged.groupBy("part").agg(F.sum("size").alias("part_size"))  # a row for each partition
+    earlier = F.coalesce(F.sum("part_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", earlier.alias("before")).where(F.col("before") < budget)
+    within = F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    taken = merged.join(F.broadcast(parts), "part").withColumn("total", F.col("before") + within).where(F.col("total") <= budget)
+    found = written(taken.groupBy("queue", "upto").agg(F.count(F.lit(1)).alias("copies")), "mix-taken")
+    discard(merged)
+    return found
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """doc_id, queue, size, source_size, target, finish, copies, taken for each row; ``finish`` is the first virtual finish time."""
+    """doc_id, queue, place, size, source_size, target, finish, copies, taken for each row; ``finish`` is the first virtual finish time."""
     sized = written(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     queued = written(_queued(sized, targets(sized)), "mix-queues")
     budget = sized.agg(F.sum("size")).first()[0] or 0
-    end = _end(queued, budget)
-    copies = F.lit(0)
-    for turn in range(MOST_TIMES):
-        finish = _finish(F.lit(turn))
-        taken = F.lit(True) if end is None else F.struct(finish.alias("a"), F.col("queue").alias("b"), F.lit(turn).alias("c"), F.col("place").alias("d")) < F.struct(F.lit(end[0]).alias("a"), F.lit(end[1]).alias("b"), F.lit(int(end[2])).alias("c"), F.lit(end[3]).alias("d"))
-        copies = copies + F.when((F.col("size") > 0) & (F.col("target") > 0) & taken, 1).otherwise(0)
-    first = F.when(F.col("target") > 0, F.col("upto") / F.when(F.col("target") > 0, F.col("target")))
-    return queued.select("doc_id", "queue", "size", "source_size", "target", first.alias("finish"), copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    taken = _taken(queued, budget).select("queue", F.col("upto").alias("at"), F.col("copies").alias("some"))
+    here = F.when(F.col("size") > 0, F.col("upto")) == F.col("at")
+    rows = queued.join(taken, (queued["queue"] == taken["queue"]) & here, "left").drop(taken["queue"])
+    rows = rows.select("doc_id", "queue", "place", "size", "source_size", "target", _finish(F.lit(0)).alias("finish"), F.coalesce("some", F.lit(0)).cast("long").alias("copies"))
+    return rows.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it, with all its columns."""
-    copies = plan(docs, id_col, text_col, source_col, seed).groupBy("doc_id", "queue").agg(F.min("copies").alias("__copies"))
-    copies = copies.where("__copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("queue").alias("__mix_queue"), "__copies")
+    """The mix itself, in the merged order: each row of ``docs`` as often as the mix takes it, with all its columns."""
+    names = {x: fresh(docs, "mix_" + x) for x in ("id", "queue", "copies", "finish", "round", "place", "turn")}
+    rows = plan(docs, id_col, text_col, source_col, seed)
+    step = F.max(F.col("source_size") / F.when(F.col("target") > 0, F.col("target")))
+    rows = rows.groupBy("doc_id", "queue").agg(F.min("copies").alias("copies"), F.min("finish").alias("finish"), step.alias("round"), F.min("place").alias("place"))
+    rows = rows.where("copies > 0").select(*[F.col({"id": "doc_id"}.get(x, x)).alias(names[x]) for x in ("id", "queue", "copies", "finish", "round", "place")])
     queue = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("t"))
-    joined = docs.join(copies.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id")) & (queue == F.col("__mix_queue")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(rows, F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"])) & (queue == F.col(names["queue"])))
+    joined = joined.withColumn(names["turn"], F.explode(F.sequence(F.lit(0), F.col(names["copies"]).cast("int") - 1)))
+    order = [F.col(names["finish"]) + F.col(names["turn"]) * F.col(names["round"]), F.col(names["queue"]), F.col(names["turn"]), F.col(names["place"])]
+    return joined.orderBy(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def test_parts_bound_what_linked_sets_differ_by():
 HARD = ["", " ", "a", "  leading and   trailing  ", "don't we'll I've", "x" * 700, "a b" * 300, "naïve café    words", "\x1c\x1d odd \x1f", "漢字かな交じり文" * 20, "\r\n\r\n\t tabs", "123 4567,89", "🙂🙃" * 40, "é" * 50, "<|endoftext|> text", "word " * 200 + "\n" * 90]
 
 
-@pytest.mark.parametrize("leaf", [1, 3, 17, 8192])
+@pytest.mark.parametrize("leaf", [1, 3, 17, 512])
 def test_bpe_tree_equals_the_library(leaf):
     P = pytest.importorskip("public_tokenizers")
     encoding = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
@@ -350,11 +350,31 @@ def test_mixing_of_tables_without_words(spark):
     assert mixing.mix(make(spark, [(1, "a b", "s"), (1, "a b", "s"), (2, "c", None)])).count() >= 2
 
 
-def test_mixing_finds_the_end_in_narrowing_ranges(spark, monkeypatch):
-    rows = [(i, "w " * (i % 7 + 1), f"s{i % 4}") for i in range(400)]
-    whole = sorted(map(tuple, mixing.plan(make(spark, rows)).select("doc_id", "taken").collect()))
-    monkeypatch.setattr(mixing, "CELLS", 5)
-    assert sorted(map(tuple, mixing.plan(make(spark, rows)).select("doc_id", "taken").collect())) == whole
+def test_mix_is_cut_off_at_the_budget_in_merged_order(spark):
+    """Against a plain merge of the queues, with equal finish times across sources."""
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 4}") for i in range(400)] + [(1000 + i, "w w", f"t{i % 3}") for i in range(90)]
+    size = {i: len(WORDS.findall(t)) for i, t, _ in rows}
+    by_source = Counter()
+    for i, _, s in rows:
+        by_source[s] += size[i]
+    goal = brute_targets(by_source)
+    place = {i: hashlib.md5(f"mix\x01{i}".encode()).hexdigest() for i in size}
+    upto, entries = Counter(), []
+    for i, _, s in sorted(rows, key=lambda r: place[r[0]]):
+        upto[s] += size[i]
+        entries += [((turn * by_source[s] + upto[s]) / goal[s], "s" + s, turn, place[i], i) for turn in range(3)]
+    left, wanted = sum(size.values()), []
+    for entry in sorted(entries):
+        left -= size[entry[-1]]
+        if left < 0:
+            break
+        wanted.append(entry[-1])
+    assert len({e[0] for e in entries}) < len(entries)
+    for parts in (1, 9):
+        df = make(spark, rows, parts)
+        assert {r["doc_id"]: r["copies"] for r in mixing.plan(df).where("copies > 0").collect()} == Counter(wanted)
+        found = [r["doc_id"] for r in mixing.mix(df).collect()]
+        assert Counter(found) == Counter(wanted) and found[:200] == wanted[:200]
 
 
 # 10 --------------------------------------------------------------------------------------------
