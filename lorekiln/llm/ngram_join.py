@@ -302,28 +302,43 @@ def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-def compared(cell: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Edges (a, b) that join the components of members (uid, n, sketch, label, half) of a cell whose sketches are near.
+def compared(uid: np.ndarray, n: np.ndarray, half: np.ndarray, label: np.ndarray, sketch: list[np.ndarray], threshold: int) -> tuple[list, list]:
+    """Ends of edges that join the components of a cell's members whose sketches are near.
 
-    Members of half 0 meet members of half 1; in a cell of one half (-1) all members meet.
+    Members of half 0 meet members of half 1; in a cell of one half (-1) all members meet. Members of the most frequent
+    component need no centre: their pairs with all others are met from the other end.
     """
-    uid, n = cell["uid"].to_numpy(), cell["n"].to_numpy()
-    half = cell["half"].to_numpy()
-    words = min(len(x) for x in cell["sketch"])
-    bits = np.stack([_fold(np.asarray(x, np.int64).view(np.uint64), words) for x in cell["sketch"]])
-    _, label = np.unique(cell["label"].to_numpy(), return_inverse=True)
+    words = min(len(x) for x in sketch)
+    bits = np.stack([x if len(x) == words else _fold(x, words) for x in sketch])
+    _, label, crowd = np.unique(label, return_inverse=True, return_counts=True)
+    common = label == np.argmax(crowd)
     a, b = [], []
-    other = np.flatnonzero(half != 0)
-    for i in np.flatnonzero(half != 1):
-        rest = other[label[other] != label[i]]
+    for i in np.flatnonzero(~common):
+        rest = np.flatnonzero((label != label[i]) & ((half < 0) | (half != half[i])))
         if not len(rest):
             continue
+        rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * threshold]
         apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        close = (apart * (100 + threshold) <= (n[rest] + n[i]) * (100 - threshold)) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * threshold)
-        for x in np.unique(label[rest[close]]):
-            b.append(uid[rest[close]][np.argmax(label[rest[close]] == x)])
+        close = rest[apart * (100 + threshold) <= (n[rest] + n[i]) * (100 - threshold)]
+        for x in np.unique(label[close]):
+            b.append(uid[close[np.argmax(label[close] == x)]])
             a.append(uid[i])
             label[label == x] = label[i]
+    return a, b
+
+
+def cell_edges(lot: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Edges (a, b) of the cells (key, i, j) of a lot."""
+    turn = np.lexsort((lot["uid"], lot["j"], lot["i"], lot["key"]))
+    uid, n, half, label, key, i, j = (lot[x].to_numpy()[turn] for x in ("uid", "n", "half", "label", "key", "i", "j"))
+    sketch = [np.asarray(x, np.int64).view(np.uint64) for x in lot["sketch"].to_numpy()[turn]]
+    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+    a, b = [], []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        own = slice(low, high)
+        more = compared(uid[own], n[own], half[own], label[own], sketch[own], threshold)
+        a += more[0]
+        b += more[1]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
@@ -343,15 +358,17 @@ def cells(rest: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
     """Edges between near members of different components of the buckets ``rest`` (key, uid, label, size).
 
     A bucket of more than CELL members is dealt to k parts and each two parts, and each part alone, are a
-    cell, so that a cell has a bounded size and a member goes to k of them.
+    cell, so that a cell has a bounded size and a member goes to k of them. Cells go to lots of bounded mean size.
     """
+    lots = (rest.agg(F.sum(F.ceil(F.col("size") / CELL))).first()[0] or 0) // (20 * CELL) + 1
     k = F.ceil(F.col("size") / CELL).cast("int")
     dealt = rest.join(sketched, "uid").withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("k")).cast("int"))
     placed = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     half = F.when(F.col("part") == F.col("other"), -1).when(F.col("part") < F.col("other"), 0).otherwise(1)
     placed = placed.select("key", low.alias("i"), high.alias("j"), half.alias("half"), "uid", "n", "label", "sketch")
-    return placed.groupBy("key", "i", "j").applyInPandas(lambda cell: compared(cell, threshold), "a long, b long")
+    lot = F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(lots))).alias("lot")
+    return placed.groupBy(lot).applyInPandas(lambda cells: cell_edges(cells, threshold), "a long, b long")
 
 
 def sweep(flat: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
