@@ -6,9 +6,10 @@ weight is the product of its log-count ratio, from add-one smoothed counts of la
 that have it, and a coefficient that logistic regression learns on the scaled features. Scoring
 adds up the weights of a text's places.
 
-The model is fitted on the driver on at most ``SAMPLE`` labelled rows of either class, taken in
-the order of a hash, and of these on at most ``PLACES`` n-gram places with the clearest counts (a model size
-that is a parameter too); everything else reads all rows and whole texts.
+The model is fitted on at most ``SAMPLE`` labelled rows of either class, taken in
+the order of a hash. Places are counted on the executors; each place whose shares in the classes are ``CLEAR``
+standard deviations apart takes part, however many these are, and only such places
+of the sampled rows go to the driver. Everything else reads all rows and whole texts.
 
 Defined results: a null text is empty and scores by the intercept; labels other than 0 and 1 are
 no labels; of labels that disagree the larger holds; if the labelled rows show one class only,
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import collected, fold, sample
-from .shared import odd_numbers
+from .shared import discard, kind_of, odd_numbers, written
 
 #: Labelled rows of either class at most that the model is fitted on.
 SAMPLE = 3_000
-PLACES = 1_500
+#: Standard deviations by which the shares of two classes that have a place differ, at least, for it to have a weight.
+CLEAR = 4.0
 FOLDS, HELD_OUT, LEAST = 4, 2, 0.3
 SHORTEST, LONGEST = 3, 6
 SLOTS = 1 << 20
@@ -81,27 +83,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, places: int = PLACES, penalty: float = 1.0, rounds: int = 150) -> Model:
-    """Naive Bayes ratios, then logistic regression on features scaled by them (accelerated gradient steps)."""
-    share = float((np.sum(weight * y) + 1) / (np.sum(weight) + 2))
-    base = float(np.log(share / (1 - share)))
-    if len(np.unique(y)) < 2:
-        return Model(base)
-    counts = [np.zeros(SLOTS), np.zeros(SLOTS)]
-    for x, v in zip(docs, y, strict=True):
-        counts[int(v)][x] += 1
-    n0, n1 = float((y == 0).sum()), float((y == 1).sum())
+def ratios(counts: list[np.ndarray], n0: float, n1: float, least: float = CLEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Places that tell the classes apart, in rising order, and their log-count ratios, from the rows of either class that have each place."""
     ratio = np.log((counts[1] + 1) / (n1 + 2)) - np.log((counts[0] + 1) / (n0 + 2))
-    # how far the counts stand from chance, in standard deviations
     pooled = (counts[0] + counts[1] + 1) / (n0 + n1 + 2)
     clear = np.abs(counts[1] / n1 - counts[0] / n0) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n0 + 1 / n1))
-    chosen = np.sort(np.argsort(-clear, kind="stable")[:places])
+    chosen = np.flatnonzero(clear >= least)
+    return chosen, ratio[chosen]
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, chosen: np.ndarray, r: np.ndarray, penalty: float = 1.0, rounds: int = 150) -> Model:
+    """Logistic regression on the chosen places, scaled by their ratios (accelerated gradient steps)."""
+    share = float((np.sum(weight * y) + 1) / (np.sum(weight) + 2))
+    base = float(np.log(share / (1 - share)))
+    if len(np.unique(y)) < 2 or not len(chosen):
+        return Model(base)
     number = np.full(SLOTS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     columns = [number[x][number[x] >= 0] for x in docs]
     lengths = np.array([len(c) for c in columns])
     flat, row = np.concatenate(columns), np.repeat(np.arange(len(docs)), lengths)
-    r = ratio[chosen]
     values = r[flat]
     w, b = np.zeros(len(chosen)), base
     look_w, look_b, momentum = w.copy(), b, 1.0
@@ -130,17 +131,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """Fit on labelled rows outside the held-out fold. Rows count so that classes keep their shares."""
     rows, sizes = sample(docs, labels, label, folds, held_out, most, id_col, text_col)
 
+    rows = written(rows, "toxicity-sample")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams, counts = Grams(), np.zeros((SLOTS, 2), np.int64)
+        for group in batches:
+            for text, y in zip(group["text"], group["y"], strict=True):
+                counts[grams.of(text), int(y)] += 1
+        seen = np.flatnonzero(counts.any(axis=1))
+        yield pd.DataFrame({"place": seen.astype(np.int32), "n0": counts[seen, 0], "n1": counts[seen, 1]})
+
+    n = {int(r["y"]): int(r["count"]) for r in rows.groupBy("y").count().collect()}  # two rows
+    if len(n) < 2:
+        return fit([], np.array([float(x) for x in n]), np.array([float(v) for v in n.values()]), np.empty(0), np.empty(0)) if n else Model(0.0)
+    by_place = rows.select("text", "y").mapInPandas(counted, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = by_place.toPandas()  # SLOTS rows at most
+    counts = [np.zeros(SLOTS), np.zeros(SLOTS)]
+    for k in (0, 1):
+        counts[k][found["place"].to_numpy()] = found[f"n{k}"].to_numpy()
+    chosen, r = ratios(counts, float(n[0]), float(n[1]))
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = Grams()
+        grams, wanted = Grams(), np.zeros(SLOTS, bool)
+        wanted[sent.value] = True
         for group in batches:
-            yield pd.DataFrame({"__doc": group["__doc"], "y": group["y"], "x": [grams.of(t).astype("<i4").tobytes() for t in group["text"]]})
+            places = [grams.of(t) for t in group["text"]]
+            yield pd.DataFrame({"__doc": group["__doc"].array, "y": group["y"], "x": [np.sort(p[wanted[p]]).astype("<i4").tobytes() for p in places]})
 
-    found = collected(rows.select(F.col("__doc").cast("long"), "text", "y").mapInPandas(part, "__doc long, y int, x binary"))
-    if not len(found):
-        return Model(0.0)
+    found = collected(rows.mapInPandas(part, f"__doc {kind_of(rows, '__doc')}, y int, x binary"))
+    discard(rows)
     y = found["y"].to_numpy().astype(float)
     weight = np.array([max(1.0, sizes[int(v)] / most) for v in y])
-    return fit([np.frombuffer(x, "<i4") for x in found["x"]], y, weight / weight.mean())
+    return fit([np.frombuffer(x, "<i4") for x in found["x"]], y, weight / weight.mean(), chosen, r)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,10 +174,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, own = Grams(), sent.value
         for group in batches:
-            yield pd.DataFrame({"doc_id": group["doc_id"], "score": own.score(grams, group["text"].tolist())})
+            yield pd.DataFrame({"doc_id": group["doc_id"].array, "score": own.score(grams, group["text"].tolist())})
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(part, "doc_id long, score double")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInPandas(part, f"doc_id {kind_of(docs, id_col)}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

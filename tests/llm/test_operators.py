@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -467,3 +468,91 @@ def test_classifiers_on_odd_tables(spark, docs, rows, label, module):
     for some in (labels.limit(0), labels.where(f"{label} = 1")):
         assert len({r["score"] for r in module.report(docs, some).collect()}) == 1
     assert module.report(empty(spark), labels).count() == 0
+
+
+def plain_grams(text):
+    """Places of a text's n-grams, each n-gram hashed on its own with Python's integers."""
+    clean = f" {' '.join((text or '').lower().split())} "
+    odd, mask, found = [int(x) for x in toxicity.odd_numbers(toxicity.LONGEST, 50)], 2**64 - 1, set()
+    for i in range(len(clean)):
+        total = 0
+        for n, c in enumerate(clean[i : i + toxicity.LONGEST], 1):
+            total = (total + ord(c)) * odd[n - 1] & mask
+            total ^= total >> 29
+            if n >= toxicity.SHORTEST:
+                found.add(total >> 44)
+    return found
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Ratios, regression and scores by loops over every row, place by place."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["good", "day", "Sun", "tree", "walk", "read"] + ["vile", "mean"] * (i % 3 == 0)) for _ in range(12)) for i in range(50)]
+    labels = [(i, int(i % 3 == 0)) for i in range(50)]
+    df = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = {r["doc_id"]: r["score"] for r in toxicity.report(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    known = [(plain_grams(texts[i]), y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [sum(y == k for _, y in known) for k in (0, 1)]
+    ratio = {}
+    for place in set().union(*(x for x, _ in known)):
+        c = [sum(place in x and y == k for x, y in known) for k in (0, 1)]
+        pooled = (sum(c) + 1) / (sum(n) + 2)
+        if abs(c[1] / n[1] - c[0] / n[0]) >= toxicity.CLEAR * (pooled * (1 - min(pooled, 0.999)) * (1 / n[0] + 1 / n[1])) ** 0.5:
+            ratio[place] = np.log((c[1] + 1) / (n[1] + 2)) - np.log((c[0] + 1) / (n[0] + 2))
+    assert ratio
+    rows = [([p for p in x if p in ratio], y) for x, y in known]
+    w, base = dict.fromkeys(ratio, 0.0), np.log((n[1] + 1) / (n[0] + 1))
+    squares = np.array([[ratio[p] if p in x else 0.0 for p in ratio] for x, _ in rows])
+    for _ in range(40_000):  # plain gradient descent to the minimum of the same loss
+        z = squares @ np.array(list(w.values())) + base
+        off = 1 / (1 + np.exp(-z)) - np.array([y for _, y in rows])
+        g = squares.T @ off + np.array(list(w.values()))
+        w = dict(zip(w, np.array(list(w.values())) - 0.002 * g, strict=True))
+        base -= 0.002 * off.sum()
+    chosen = np.array(sorted(ratio))
+    args = [np.array(sorted(x), np.int64) for x, _ in rows], np.array([float(y) for _, y in rows]), np.ones(len(rows)), chosen, np.array([ratio[p] for p in chosen])
+    some, most = toxicity.fit(*args), toxicity.fit(*args, rounds=20_000)
+    for i, t in enumerate(texts):
+        scores = []
+        for model in (some, most):
+            z = model.base + sum(float(model.weights[p]) for p in plain_grams(t))
+            scores.append(1 / (1 + np.exp(-z)))
+        assert found[i] == pytest.approx(scores[0], abs=1e-6)
+        z = base + sum(w[p] * ratio[p] for p in plain_grams(t) if p in ratio)
+        assert scores[1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4) and abs(scores[1] - scores[0]) < 0.05
+
+
+def test_toxicity_finds_held_out_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [r for r in toxicity.report(docs, labels).collect() if r["held_out"] and known.get(r["doc_id"]) in (0, 1)]
+    hits = sum(r["predicted"] and known[r["doc_id"]] for r in held)
+    assert hits >= 0.9 * sum(known[r["doc_id"]] for r in held) and hits >= 0.95 * sum(r["predicted"] for r in held)
+
+
+def test_quality_scores_and_trees_equal_plain_versions():
+    rng = np.random.default_rng(4)
+    x, noise = rng.normal(size=(300, 4)), rng.normal(size=300)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0) | (x[:, 2] + 0.3 * noise > 1)).astype(float)
+    model = quality.fit(x, y, np.ones(300))
+    for row, score in zip(x, model.score(x), strict=True):
+        total = model.base
+        for f, (cuts, table) in enumerate(zip(model.cuts, model.tables, strict=True)):
+            total += table[sum(c <= row[f] for c in cuts)]
+        for a, b, table in model.pairs:
+            total += table[sum(c <= row[a] for c in model.coarse[a]), sum(c <= row[b] for c in model.coarse[b])]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    assert (0, 1) in [(a, b) for a, b, _ in model.pairs] and ((model.score(x) > 0.5) == y).mean() > 0.95
+    g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    best = max(range(1, 9), key=lambda c: gain(0, c) + gain(c, 9))
+    wanted = [g[:best].sum() / (h[:best].sum() + 1)] * best + [g[best:].sum() / (h[best:].sum() + 1)] * (9 - best)
+    assert quality._leaves(g, h, 1) == pytest.approx(wanted)
+    g2, h2 = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
+    parts = lambda i, j: [(slice(None, i), slice(None, j)), (slice(None, i), slice(j, None)), (slice(i, None), slice(None, j)), (slice(i, None), slice(j, None))]
+    whole = lambda i, j: sum(g2[p].sum() ** 2 / (h2[p].sum() + 1) for p in parts(i, j))
+    top = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda c: whole(*c))
+    values = np.empty((4, 5))
+    for p in parts(*top):
+        values[p] = g2[p].sum() / (h2[p].sum() + 1)
+    assert quality._quadrants(g2, h2)[0] == pytest.approx(values)
