@@ -72,7 +72,7 @@ class KnowledgeBase:
         sections = self._indexed(self._table("sections"))
         joined = retrieval.ranked(hits, F.desc("score"), "id").join(sections, F.col("id") == F.col("section_id"))
         exact = retrieval.exact_match(query, F.array_join("heading_path", " "), F.col("content"))
-        return joined.select("rank", "path", "heading_path", "score", exact.alias("exact"), T.snippet(F.col("content"), T.query_terms(F.lit(query))).alias("snippet"))
+        return joined.select("rank", "path", "heading_path", "score", exact.alias("exact"), T.snippet(F.col("content"), F.lit(query)).alias("snippet"))
 
     def context(self, query: str, chunks: int = C.CHUNKS, tokens: int = C.TOKENS) -> DataFrame:
         """pos, path, heading_path, body of a budgeted bundle, in order."""

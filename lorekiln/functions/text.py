@@ -6,6 +6,7 @@ import hashlib
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -15,39 +16,60 @@ WORD = r"[\p{IsAlphabetic}\p{N}]+"
 HAN = r"\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
 # Ranges of characters that count as wide when tokens are estimated.
 WIDE = r"\u1100-\u115F\u2E80-\u303E\u3041-\u33FF\u3400-\u4DBF\u4E00-\u9FFF\uA000-\uA4CF\uAC00-\uD7A3\uF900-\uFAFF\uFE30-\uFE4F\uFF00-\uFF60\uFFE0-\uFFE6"
-# Letters with diacritics and what a full-text index folds them to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Characters up to here have no other composed form, and these are their own compatibility forms.
+_BEFORE_MARKS = r"\A[\x00-\u02FF]*\z"
+_OWN_FORM = r"\A[\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]*\z"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters up to U+1FFF that decompose, and the letters that they begin with."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and c.isalpha() and c == c.lower() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, FOLDED = _accents()
 
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-case words in order. Text with Han characters needs ``tokens_han``."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
 
 
-def tokens_han(text: Column | str) -> Column:
-    """As ``tokens``, but each run of Han characters c1 c2 c3 gives c1, c1c2, c2, c2c3, c3."""
-    word = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(f"[{HAN}]+|[\\p{{IsAlphabetic}}\\p{{N}}&&[^{HAN}]]+"), F.lit(0))
+def collapsed(text: Column) -> Column:
+    """Trimmed, and each run of white space of any kind one space."""
+    return F.regexp_replace(trimmed(text), r"\p{IsWhite_Space}+", " ")
+
+
+def tokens(text: Column | str, fold: bool = False) -> Column:
+    """Lower-case words of the NFKC form in order; each run of Han characters c1 c2 c3 gives c1, c1c2, c2, c2c3, c3.
+
+    With ``fold``, letters lose their diacritics, as a full-text index sees them.
+    """
+    lower = F.lower(nfkc(text))
+    clean = folded(lower) if fold else lower
+    plain = F.regexp_extract_all(clean, F.lit(WORD), F.lit(0))
+    word = F.regexp_extract_all(clean, F.lit(f"[{HAN}]+|[\\p{{IsAlphabetic}}\\p{{N}}&&[^{HAN}]]+"), F.lit(0))
 
     def pieces(w: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.when(i < F.length(w), F.array(F.substr(w, i, F.lit(1)), F.substr(w, i, F.lit(2)))).otherwise(F.array(F.substr(w, i, F.lit(1)))))
         return F.when(w.rlike(f"^[{HAN}]"), F.flatten(each)).otherwise(F.array(w))
 
-    return F.flatten(F.transform(word, pieces))
+    return F.when(clean.rlike(f"[{HAN}]"), F.flatten(F.transform(word, pieces))).otherwise(plain)
 
 
 def folded(text: Column | str) -> Column:
-    """Lower case without Latin diacritics, as the full-text index sees words."""
+    """Lower case without diacritics, as the full-text index sees words."""
     return F.translate(F.lower(_col(text)), ACCENTED, FOLDED)
 
 
-def query_terms(text: Column | str) -> Column:
+def query_terms(text: Column | str, fold: bool = False) -> Column:
     """Distinct words of a query in the order of their first appearance."""
-    return F.array_distinct(tokens(text))
+    return F.array_distinct(tokens(text, fold))
 
 
 def match_expression(text: Column | str) -> Column:
@@ -64,12 +86,13 @@ def estimate_tokens(text: Column | str) -> Column:
 
 
 def slug(text: Column | str) -> Column:
-    """Runs of other characters than lower-case letters and digits become one hyphen; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(_col(text)), r"[^\p{IsAlphabetic}\p{N}]+", "-"), "^-+|-+$", "")
+    """Runs of other characters than lower-case letters and digits, in NFC, become one hyphen; none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(nfc(text)), r"[^\p{IsAlphabetic}\p{N}]+", "-"), "^-+|-+$", "")
 
 
 def canonical_key(name: Column | str) -> Column:
-    return F.trim(F.lower(_col(name)))
+    """NFKC, lower case, trimmed."""
+    return trimmed(F.lower(nfkc(name)))
 
 
 def label(name: Column | str, key: Column | str) -> Column:
@@ -82,38 +105,47 @@ def label_unless_blank(name: Column | str, key: Column | str) -> Column:
 
 
 def fingerprint(text: Column | str) -> Column:
-    """SHA-256 after white space at line ends and around the whole text is gone."""
-    lines = F.regexp_replace(F.regexp_replace(_col(text), "\r\n?", "\n"), r"(?m)[ \t\x0B\f]+$", "")
-    return F.sha2(F.regexp_replace(lines, r"^\s+|\s+$", ""), 256)
+    """SHA-256 of the NFC form after white space at line ends and around the whole text is gone."""
+    lines = F.regexp_replace(nfc(text), r"[\p{IsWhite_Space}&&[^\n]]+(?=\n|\z)", "")
+    return F.sha2(trimmed(lines), 256)
 
 
 def claim_key(statement: Column | str) -> Column:
-    """SHA-256, taken twice, of the statement with white space collapsed."""
-    return F.sha2(F.sha2(F.trim(F.regexp_replace(_col(statement), r"\s+", " ")), 256), 256)
+    """SHA-256, taken twice, of the statement in NFC with white space collapsed."""
+    return F.sha2(F.sha2(collapsed(nfc(statement)), 256), 256)
 
 
 def normalized_title(title: Column | str) -> Column:
-    return F.lower(F.trim(F.regexp_replace(_col(title), r"\s+", " ")))
+    """NFKC, white space collapsed, lower case."""
+    return F.lower(collapsed(nfkc(title)))
 
 
 def top_directory(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", 1)
 
 
+# Parts of file names that name a language, and ranges of characters that count as Chinese or Japanese.
+SUFFIXES = {".zh-cn.": "zh-CN", ".zh_cn.": "zh-CN", ".cn.": "zh-CN", ".zh.": "zh-CN", ".en.": "en"}
+CJK = r"\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\u3040-\u30FF"
+
+
 def language(text: Column | str, frontmatter: Column | None = None, path: Column | None = None) -> Column:
-    """Language tag: frontmatter, else a two-letter suffix of the file name, else by script.
+    """Language tag: frontmatter, else a part of the file name, else by script.
 
-    By script, of the first 4,096 characters: under 16 letters 'und'; Han over a twentieth of letters 'zh'; else 'en'.
+    A tag's first part is in lower case, its second in upper case, further ones go. By script, of the first 4,096 characters: under
+    16 letters (ASCII ones and those of CJK) 'und'; CJK over a twentieth of these 'zh'; else 'en'.
     """
     head = F.substring(_col(text), 1, 4096)
-    letters = F.regexp_count(head, F.lit(r"\p{IsAlphabetic}"))
-    han = F.regexp_count(head, F.lit(f"[{HAN}]"))
-    script = F.when(letters < 16, "und").when(han * 20 > letters, "zh").otherwise("en")
+    cjk = F.regexp_count(head, F.lit(f"[{CJK}]"))
+    letters = F.regexp_count(head, F.lit("[A-Za-z]")) + cjk
+    script = F.when(letters < 16, "und").when(cjk * 20 > letters, "zh").otherwise("en")
     first: list[Column] = []
     if frontmatter is not None:
-        first.append(F.nullif(F.lower(F.trim(frontmatter)), F.lit("")))
+        parts = F.split(F.nullif(trimmed(frontmatter), F.lit("")), "-")
+        first.append(F.when(F.size(parts) > 1, F.concat(F.lower(parts[0]), F.lit("-"), F.upper(F.get(parts, 1)))).otherwise(F.lower(parts[0])))
     if path is not None:
-        first.append(F.nullif(F.regexp_extract(F.lower(path), r"\.([a-z]{2})\.mdx?$", 1), F.lit("")))
+        name = F.lower(F.substring_index(path, "/", -1))
+        first.append(F.coalesce(*[F.when(F.contains(name, F.lit(needle)), tag) for needle, tag in SUFFIXES.items()]))
     return F.coalesce(*first, script)
 
 
@@ -152,10 +184,17 @@ def frontmatter(**fields: Column) -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
 
 
-def page_file_name(title: Column, page_id: Column) -> Column:
-    """Up to 48 characters of the title that any file system takes, and eight hex digits of the id."""
-    safe = F.trim(F.regexp_replace(title, r"[^\p{L}\p{N} _-]+", "-"))
-    return F.concat(F.substring(F.when(safe == "", "page").otherwise(safe), 1, 48), F.lit("-"), F.substring(F.sha2(page_id, 256), 1, 8), F.lit(".md"))
+def page_file_name(slug_: Column, page_id: Column) -> Column:
+    """A slug of ASCII letters, digits, - and _ as it is; else up to 48 such characters of it and eight hex digits of its SHA-256.
+
+    Where no such character is left, the page's id serves.
+    """
+    squeezed = F.regexp_replace(slug_, "(?<=-)[^A-Za-z0-9_-]+", "")  # a dash that is there already serves for what follows
+    safe = F.regexp_replace(squeezed, "[^A-Za-z0-9_-]+", "-")
+    edge = lambda x: F.regexp_replace(x, r"\A-+|-+\z", "")
+    prefix = edge(F.substring(edge(safe), 1, 48))
+    named = F.when(prefix == "", page_id).otherwise(F.concat(prefix, F.lit("-"), F.substring(F.sha2(slug_, 256), 1, 8)))
+    return F.concat(F.when(slug_.rlike(r"\A[A-Za-z0-9_-]+\z"), slug_).otherwise(named), F.lit(".md"))
 
 
 def one_line_summary(text: Column | str, most: int = 600) -> Column:
@@ -178,6 +217,8 @@ def redacted(text: Column | str) -> Column:
 # Citations and links inside page bodies -------------------------------------------------------
 
 CITE = r'<!--\s*(?:[\w-]+:)?cite\s+claim="([^"]*)"\s*-->'
+#: The same with or without a claim.
+CITE_ANY = r"<!--\s*(?:[\w-]+:)?cite(?:\s(?:(?!-->)[\s\S])*)?-->"
 LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 
 
@@ -186,7 +227,7 @@ def cited_claims(body: Column | str) -> Column:
 
 
 def without_citations(body: Column | str) -> Column:
-    return F.regexp_replace(_col(body), CITE, "")
+    return F.regexp_replace(_col(body), CITE_ANY, "")
 
 
 def link_targets(body: Column | str) -> Column:
@@ -224,17 +265,16 @@ def _normal(form: str):
 
 
 def nfc(text: Column | str) -> Column:
-    return _unless_ascii(_normal("NFC"), _col(text))
+    return _unless(_BEFORE_MARKS, _normal("NFC"), _col(text))
 
 
 def nfkc(text: Column | str) -> Column:
-    return _unless_ascii(_normal("NFKC"), _col(text))
+    return _unless(_OWN_FORM, _normal("NFKC"), _col(text))
 
 
-def _unless_ascii(normal, x: Column) -> Column:
-    """Rows of ASCII text, which normal forms leave as they are, are handed over as null and kept."""
-    ascii_ = x.rlike(r"\A\p{ASCII}*\z")
-    return F.coalesce(normal(F.when(~ascii_, x)), x)
+def _unless(stable: str, normal, x: Column) -> Column:
+    """Rows that a normal form leaves as they are, by a pattern, are handed over as null and kept."""
+    return F.coalesce(normal(F.when(~x.rlike(stable), x)), x)
 
 
 def fold_with_offsets(text: str) -> tuple[str, list[tuple[int, int]]]:
@@ -270,19 +310,35 @@ def locate_evidence(quote: pd.Series, cited: pd.Series, others: pd.Series) -> pd
     return pd.DataFrame(rows, columns=["section", "start", "end", "digest"]).astype({"section": "Int32", "start": "Int64", "end": "Int64"})
 
 
+_WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+_HAN = regex.compile(f"([{HAN}]+)")
+
+
+def words_of(text: str) -> list[str]:
+    """``tokens`` of one text, in Python."""
+    out: list[str] = []
+    for word in _WORDS.findall(unicodedata.normalize("NFKC", text).lower()):
+        for piece in filter(None, _HAN.split(word)):
+            if _HAN.match(piece):
+                for i, c in enumerate(piece):
+                    out += [c, piece[i : i + 2]] if i + 1 < len(piece) else [c]
+            else:
+                out.append(piece)
+    return out
+
+
 @F.pandas_udf(StringType())
-def _snippet(words: pd.Series, terms: pd.Series) -> pd.Series:
-    def one(w, t) -> str:
-        w, wanted = list(w), set(t)
+def _snippet(bodies: pd.Series, queries: pd.Series) -> pd.Series:
+    def one(body: str, query: str) -> str:
+        w, wanted, size = words_of(body or ""), set(words_of(query or "")), 16
         hits = [x in wanted for x in w]
-        size = 16
         best = max(range(max(1, len(w) - size + 1)), key=lambda i: (len({x for x, h in zip(w[i : i + size], hits[i : i + size], strict=True) if h}), -i), default=0)
         shown = [f"[{x}]" if h else x for x, h in zip(w[best : best + size], hits[best : best + size], strict=True)]
         return (" … " if best else "") + " ".join(shown) + (" … " if best + size < len(w) else "")
 
-    return pd.Series([one(w, t) for w, t in zip(words, terms, strict=True)])
+    return pd.Series([one(b, q) for b, q in zip(bodies, queries, strict=True)])
 
 
-def snippet(body: Column | str, terms: Column) -> Column:
-    """Sixteen words around most of the terms, which stand in brackets; of the tokenised text, as an index keeps it."""
-    return _snippet(tokens(body), terms)
+def snippet(body: Column | str, query: Column) -> Column:
+    """Sixteen words around most of a query's words, which stand in brackets; of the tokenised text, as an index keeps it."""
+    return _snippet(_col(body), query)

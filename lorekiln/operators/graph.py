@@ -128,9 +128,9 @@ def dominant(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def category_groups(pages: DataFrame) -> DataFrame:
-    """category, members (titles in the order of title and slug), n."""
+    """category, members (titles in the order of title and slug), n, of pages that are no aggregates themselves."""
     members = F.transform(F.array_sort(F.collect_list(F.struct("title", "slug"))), lambda x: x["title"])
-    return pages.groupBy("category").agg(members.alias("members"), F.count(F.lit(1)).alias("n"))
+    return pages.where(~is_aggregate(F.col("category"))).groupBy("category").agg(members.alias("members"), F.count(F.lit(1)).alias("n"))
 
 
 def aggregate_pages(pages: DataFrame, links: DataFrame, labels: DataFrame, chinese: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cited_claims, link_targets, normalized_title, without_citations, without_links
+from ..functions.text import CITE_ANY, cited_claims, link_targets, normalized_title, trimmed, without_citations, without_links
 from .graph import is_aggregate
 
 # Checks in the order that reports list them, and the length from which a section needs support.
@@ -88,43 +88,58 @@ def counts(findings: DataFrame) -> DataFrame:
     return findings.distinct().agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warnings"))
 
 
-def plan_codes(proposals: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page (null for whole-plan codes), code: what makes a plan invalid. proposals: page, title, category, purpose, refs."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    own = F.array_compact(
-        F.array(
-            F.when(blank("title"), "EMPTY_TITLE"),
-            F.when(F.size(F.coalesce("refs", F.array().cast("array<string>"))) == 0, "EMPTY_REFS"),
-            F.when(blank("purpose"), "EMPTY_PURPOSE"),
-            F.when(~F.lower(F.trim(F.coalesce("category", F.lit("")))).isin("concept", "entity", "guide", "reference", "topic"), "UNKNOWN_CATEGORY"),
-        )
-    )
-    rows = proposals.select("page", F.explode(own).alias("code"))
+# The categories of planned pages.
+CATEGORIES = ("concepts", "architecture", "security", "guides", "reference")
+
+
+def plan_codes(proposals: DataFrame, nodes: DataFrame, merged: bool = False) -> DataFrame:
+    """page (null for whole-plan codes), code: what makes a plan invalid. proposals: page, title, category, purpose, refs.
+
+    A merged plan must also give purposes and cover all nodes, those that proposals have named; a single proposal need not.
+    """
+    blank = lambda c: trimmed(F.coalesce(F.col(c), F.lit(""))) == ""
+    kind = dict(proposals.dtypes)["page"]
+    checks = [
+        F.when(blank("title"), "EMPTY_TITLE"),
+        F.when(F.size(F.coalesce("refs", F.array().cast("array<string>"))) == 0, "EMPTY_REFS"),
+        F.when(~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)), "UNKNOWN_CATEGORY"),
+    ]
+    if merged:
+        checks.append(F.when(blank("purpose"), "EMPTY_PURPOSE"))
+    rows = proposals.select("page", F.explode(F.array_compact(F.array(*checks))).alias("code"))
     refs = proposals.select("page", F.explode("refs").alias("ref"))
     unknown = refs.join(nodes.select(F.col("id").alias("ref")), "ref", "left_anti").select("page", F.lit("UNKNOWN_NODE_REF").alias("code"))
     twice = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("page")).where("n > 1").select("page", F.lit("DUPLICATE_NODE_ASSIGNMENT").alias("code"))
-    uncovered = nodes.select(F.col("id").alias("ref")).join(refs.select("ref"), "ref", "left_anti").select(F.lit(None).cast(dict(proposals.dtypes)["page"]).alias("page"), F.lit("MISSING_NODE_COVERAGE").alias("code"))
-    empty = proposals.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast(dict(proposals.dtypes)["page"]).alias("page"), F.lit("EMPTY_PLAN").alias("code"))
-    return reduce(DataFrame.unionByName, (rows, unknown, twice, uncovered, empty))
+    empty = proposals.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast(kind).alias("page"), F.lit("EMPTY_PLAN").alias("code"))
+    found = [rows, unknown, twice, empty]
+    if merged:
+        uncovered = nodes.select(F.col("id").alias("ref")).join(refs.select("ref"), "ref", "left_anti")
+        found.append(uncovered.select(F.lit(None).cast(kind).alias("page"), F.lit("MISSING_NODE_COVERAGE").alias("code")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def body_codes(pages: DataFrame, claims: DataFrame, titles: DataFrame) -> DataFrame:
-    """page_id, codes: what makes a compiled body invalid. claims: page_id, claim_id (its own); titles: title."""
+    """page_id, codes: what makes a compiled body invalid. claims: page_id, claim_id (its own), anchored (may be absent: all are); titles: title."""
     body = F.col("content")
-    cited = pages.select("page_id", F.explode(F.array_distinct(cited_claims(body))).alias("claim_id"))
-    unknown = cited.join(claims.select("page_id", "claim_id").distinct(), ["page_id", "claim_id"], "left_anti").select("page_id", F.lit("UNKNOWN_CLAIM_REF").alias("code"))
+    anchored = F.col("anchored") if "anchored" in claims.columns else F.lit(True)
+    own_claims = claims.groupBy("page_id", "claim_id").agg(F.max(anchored).alias("anchored"))
+    cited = pages.select("page_id", F.explode(F.array_distinct(cited_claims(body))).alias("claim_id")).where("claim_id <> ''")
+    judged = cited.join(own_claims, ["page_id", "claim_id"], "left")
+    bad_claims = judged.where("anchored IS NULL OR NOT anchored").select("page_id", F.when(F.col("anchored").isNull(), "UNKNOWN_CLAIM_REF").otherwise("UNANCHORED_CLAIM").alias("code"))
     linked = pages.select("page_id", F.explode(link_targets(body)).alias("title"))
-    lost = linked.withColumn("key", F.lower("title")).join(titles.select(F.lower(F.trim("title")).alias("key")).distinct(), "key", "left_anti").select("page_id", F.lit("UNKNOWN_LINK_TARGET").alias("code"))
-    opens, closes = F.regexp_count(body, F.lit("<!--")), F.regexp_count(body, F.lit("-->"))
-    links_open, links_close = F.regexp_count(body, F.lit(r"\[\[")), F.regexp_count(body, F.lit(r"\]\]"))
+    lost = linked.withColumn("key", F.lower("title")).join(titles.select(F.lower(trimmed(F.col("title"))).alias("key")).distinct(), "key", "left_anti").select("page_id", F.lit("UNKNOWN_LINK_TARGET").alias("code"))
+    count = lambda pattern: F.regexp_count(body, F.lit(pattern))
+    bare = trimmed(without_citations(body))
+    cites = count(CITE_ANY)
     own = F.array_compact(
         F.array(
-            F.when(F.trim(body) == "", "EMPTY_BODY"),
-            F.when((F.trim(body) != "") & (F.size(cited_claims(body)) == 0), "UNGROUNDED_BODY"),
-            F.when(opens > closes, "UNCLOSED_COMMENT"),
-            F.when(links_open > links_close, "UNCLOSED_LINK"),
-            F.when((F.length(body) > 500) & ~body.rlike(r"(?m)^##\s"), "NO_SECTIONS"),
+            F.when((cites == 0) & (F.coalesce("n_claims", F.lit(0)) > 0), "UNGROUNDED_BODY"),
+            F.when(cites > F.size(F.filter(cited_claims(body), lambda c: c != "")), "EMPTY_CLAIM_REF"),
+            F.when(count("<!--") != count("-->"), "UNCLOSED_COMMENT"),
+            F.when(count(r"\[\[") != count(r"\]\]"), "UNCLOSED_WIKILINK"),
+            F.when(bare == "", "EMPTY_BODY").when(~F.contains(body, F.lit("## ")) & (F.length(bare) > 500), "NO_SECTIONS"),
         )
     )
-    rows = pages.select("page_id", F.explode(own).alias("code")).unionByName(unknown).unionByName(lost)
+    counted = pages.join(own_claims.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_claims")), "page_id", "left")
+    rows = counted.select("page_id", F.explode(own).alias("code")).unionByName(bad_claims).unionByName(lost)
     return rows.groupBy("page_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, query_terms, tokens
+from ..functions.text import query_terms, tokens
 from ..functions.vectors import cosine, norm
 
 # Fixed values of the ranking functions.
@@ -25,7 +25,7 @@ VECTORS, QUERIES = 4096, 512
 
 def index_tokens(*columns: Column) -> Column:
     """Words of all indexed columns of a row, diacritics folded."""
-    return F.concat(*[tokens(folded(F.coalesce(c, F.lit("")))) for c in columns])
+    return F.concat(*[tokens(F.coalesce(c, F.lit("")), fold=True) for c in columns])
 
 
 def postings(rows: DataFrame, id_col: str, words: Column) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,7 @@ def bm25(rows: DataFrame, id_col: str, words: Column, query: str, k: int | None
     literals, so rows without them never leave the scan but as two sums.
     """
     spark = rows.sparkSession
-    terms = spark.range(1).select(query_terms(folded(F.lit(query))).alias("t")).first()["t"]
+    terms = spark.range(1).select(query_terms(F.lit(query), fold=True).alias("t")).first()["t"]
     if not terms:
         return rows.sparkSession.createDataFrame([], f"{id_col} {dict(rows.dtypes)[id_col]}, score double")
     base = rows.select(F.col(id_col).alias("id"), words.alias("words"))
@@ -65,7 +65,7 @@ def bm25(rows: DataFrame, id_col: str, words: Column, query: str, k: int | None
 
 def search_postings(posting: DataFrame, lengths: DataFrame, query: str, k: int) -> DataFrame:
     """As ``bm25``, from a stored index: only the query terms' postings are read and joined with their lengths."""
-    terms = posting.sparkSession.range(1).select(query_terms(folded(F.lit(query))).alias("t")).first()["t"]
+    terms = posting.sparkSession.range(1).select(query_terms(F.lit(query), fold=True).alias("t")).first()["t"]
     hits = posting.where(F.col("term").isin(terms or [""]))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms

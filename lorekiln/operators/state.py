@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# States of a job, which of them end it, and what may follow what.
+# States of a job, which of them end it, and what may follow what. A restart of the server interrupts
+# jobs too, and only what it has interrupted may be queued again.
 STATES = ("QUEUED", "RUNNING", "COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED", "REPLAN_REQUIRED")
-NEXT = {
-    "QUEUED": ("RUNNING", "CANCELLED", "INTERRUPTED"),
-    "RUNNING": ("COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED", "REPLAN_REQUIRED"),
-    "INTERRUPTED": ("QUEUED",),
-}
+RESTART = "SERVER_RESTART"
+_ENDS = ("COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED", "REPLAN_REQUIRED", RESTART)
+NEXT = {"QUEUED": ("RUNNING", *_ENDS), "RUNNING": _ENDS, RESTART: ("QUEUED",)}
 
 
 def _micros(ts: str) -> Column:
@@ -25,6 +24,11 @@ def step(state: str | None, wanted: str) -> str | None:
     return wanted if wanted in NEXT.get(state, ()) else state
 
 
+def shown(state: Column) -> Column:
+    """The state that a job's row shows: one that a restart has cut off is interrupted."""
+    return F.when(state == RESTART, "INTERRUPTED").otherwise(state)
+
+
 def final_states(events: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts",), wanted: str = "wanted") -> DataFrame:
     """job, state, accepted: each job's events folded in order by a JVM-side aggregate over its sorted events.
 
@@ -39,7 +43,7 @@ def final_states(events: DataFrame, job: str = "job_id", order: tuple[str, ...]
         return F.struct(F.when(allowed, w).otherwise(acc["state"]).alias("state"), (acc["accepted"] + allowed.cast("long")).alias("accepted"))
 
     folded = events.groupBy(job).agg(F.aggregate(ordered, start, fold).alias("end"))
-    return folded.select(job, F.col("end.state").alias("state"), F.col("end.accepted").alias("accepted"))
+    return folded.select(job, shown(F.col("end.state")).alias("state"), F.col("end.accepted").alias("accepted"))
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
@@ -92,14 +96,31 @@ def paced(events: DataFrame, by: str, interval_us: int, ts: str = "ts", tie: str
     return events.withColumn("__i", i).withColumn("__free", free).withColumn("slot_us", latest + (F.col("__i") - 1) * interval_us).drop("__i", "__free")
 
 
-def throttled(progress: DataFrame, job: str = "job_id", ts: str = "ts", seconds: int = 1) -> DataFrame:
-    """Progress writes at most one a second: a row passes if the row before it is a second older, or there is none."""
-    before = F.lag(ts).over(Window.partitionBy(job).orderBy(ts))
-    return progress.withColumn("__before", before).where(F.col("__before").isNull() | (_micros(ts) - _micros("__before") >= seconds * 1_000_000)).drop("__before")
+def throttled(progress: DataFrame, job: str = "job_id", ts: str = "ts", seconds: int = 1, tie: str | None = None) -> DataFrame:
+    """Progress writes at most one a second: a row passes if the job's last row that passed is a second older, or there is none.
+
+    What passes depends on what has passed, so a job's rows are taken in order, a batch of sorted rows at a
+    time with one carried state. Rows of the same time go by ``tie``.
+    """
+    dealt = progress.select("*", _micros(ts).alias("__us")).repartition(job).sortWithinPartitions(job, ts, *([tie] if tie else []))
+    span = seconds * 1_000_000
+
+    def part(batches):
+        last, written_at = object(), 0
+        for rows in batches:
+            passes = []
+            for who, at in zip(rows[job], rows["__us"], strict=True):
+                passes.append(who != last or at - written_at >= span)
+                if passes[-1]:
+                    last, written_at = who, at
+            yield rows[passes].drop(columns="__us")
+
+    return dealt.mapInPandas(part, progress.schema)
 
 
 def keyset_page(rows: DataFrame, order: tuple[str, str], after: tuple | None, limit: int) -> DataFrame:
     """The page of rows that come strictly after a key, newest first, with ``more``: whether another page follows."""
+    limit = clamped(limit)
     a, b = order
     if after is not None:
         rows = rows.where((F.col(a) < F.lit(after[0])) | ((F.col(a) == F.lit(after[0])) & (F.col(b) < F.lit(after[1]))))
@@ -107,6 +128,27 @@ def keyset_page(rows: DataFrame, order: tuple[str, str], after: tuple | None, li
     return truncated(rows.orderBy(F.desc(a), F.desc(b)).limit(limit + 1).withColumn("nth", nth), limit)
 
 
+def clamped(limit: int | None, most: int = 100, default: int = 20) -> int:
+    """A page's size: within 1 and ``most``, ``default`` where none is asked for."""
+    return default if limit is None else max(1, min(most, limit))
+
+
+def slug_page(rows: DataFrame, cursor: str | None, limit: int | None = None, slug: str = "slug") -> DataFrame:
+    """The page of rows that come after a slug, in its order, with nth and more. A cursor that no row has is an error."""
+    if cursor is not None and rows.where(F.col(slug) == cursor).isEmpty():
+        raise ValueError(f"no row has the cursor {cursor!r}")
+    size = clamped(limit)
+    after = rows if cursor is None else rows.where(F.col(slug) > cursor)
+    nth = F.row_number().over(Window.orderBy(slug))
+    return truncated(after.orderBy(slug).limit(size + 1).withColumn("nth", nth), size)
+
+
+def admitted(jobs: DataFrame, queue_cap: int) -> DataFrame:
+    """running, queued, may_start, may_queue: one job runs at a time, and at most ``queue_cap`` wait."""
+    found = jobs.agg(F.count(F.when(F.col("state") == "RUNNING", 1)).alias("running"), F.count(F.when(F.col("state") == "QUEUED", 1)).alias("queued"))
+    return found.select("running", "queued", (F.col("running") == 0).alias("may_start"), (F.col("queued") < queue_cap).alias("may_queue"))
+
+
 def truncated(rows: DataFrame, limit: int) -> DataFrame:
     """Of a list of limit + 1 rows with nth: the first ``limit``, and whether there was one more."""
     return rows.withColumn("more", F.max("nth").over(Window.partitionBy()) > limit).where(F.col("nth") <= limit)

@@ -91,14 +91,15 @@ def canonical_keys(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, substr(text, 1, 4096) AS head, CASE WHEN lang IN ('fr', 'de') THEN lang ELSE '' END AS suffix FROM documents)
-SELECT doc_id, CASE WHEN suffix <> '' THEN suffix
-  WHEN len(regexp_extract_all(head, '\p{L}')) < 16 THEN 'und'
-  WHEN len(regexp_extract_all(head, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]')) * 20 > len(regexp_extract_all(head, '\p{L}')) THEN 'zh' ELSE 'en' END AS language
-FROM d""")
+WITH d AS (SELECT doc_id, lang, source, substr(text, 1, 4096) AS head FROM documents),
+c AS (SELECT *, len(regexp_extract_all(head, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}]')) AS cjk, len(regexp_extract_all(head, '[A-Za-z]')) AS latin FROM d)
+SELECT doc_id, CASE WHEN source = 'src3' THEN 'pt-BR' WHEN lang IN ('fr', 'de') THEN 'zh-CN' WHEN cjk + latin < 16 THEN 'und' WHEN cjk * 20 > cjk + latin THEN 'zh' ELSE 'en' END AS language
+FROM c""")
 def detect_language(t: Tables) -> DataFrame:
-    path = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang").isin("fr", "de"), F.concat(F.lit("."), "lang")).otherwise(F.lit("")), F.lit(".md"))
-    return t.documents.select("doc_id", T.language("text", path=path).alias("language"))
+    """Files of French and German documents are called as Chinese ones are, those of one source say what they are in."""
+    path = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", ".cn").when(F.col("lang") == "de", ".ZH_cn").otherwise(F.lit("")), F.lit(".md"))
+    said = F.when(F.col("source") == "src3", " PT-br ")
+    return t.documents.select("doc_id", T.language("text", said, path).alias("language"))
 
 
 @query(r"""

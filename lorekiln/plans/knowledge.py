@@ -160,7 +160,7 @@ def dominant_language(t: Tables) -> DataFrame:
     return G.dominant(t.documents, ["source"], "lang")
 
 
-@query(f"SELECT category, string_agg(title, '|' ORDER BY title, slug) AS members, count(*) AS n FROM ({_PAGES}) GROUP BY category")
+@query(f"SELECT category, string_agg(title, '|' ORDER BY title, slug) AS members, count(*) AS n FROM ({_PAGES}) WHERE category NOT IN ('overview', 'index', 'domain') GROUP BY category")
 def category_groups(t: Tables) -> DataFrame:
     return G.category_groups(_pages(t)).withColumn("members", F.array_join("members", "|"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import ingest as I
 from ..operators import lint as L
 from .tables import Tables, registry
 
@@ -66,31 +67,40 @@ def lint_counts(t: Tables) -> DataFrame:
     return L.counts(L.report(lint_missing_source(t), lint_broken_link(t), lint_orphan(t), lint_duplicates(t)))
 
 
+def _audited(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Lines cite parts: ranges are line numbers and quantities, some digests are too short or no hex, some hashes old."""
+    digest = F.when(F.col("l_returnflag") == "N", F.md5("l_returnflag")).when(F.col("l_linenumber") == 5, F.repeat(F.lit("g"), 64)).otherwise(F.sha2("l_returnflag", 256))
+    old = F.when(F.col("l_linenumber") == 2, "old").otherwise(F.lit("now"))
+    citations = t.lineitem.select(F.col("l_partkey").alias("source_id"), old.alias("source_hash"), F.col("l_linenumber").alias("start"), F.col("l_quantity").alias("end"), digest.alias("digest"))
+    return citations, t.part.where("p_size > 2").select(F.col("p_partkey").alias("source_id"), F.col("p_size").alias("size"), F.lit("now").alias("content_hash"))
+
+
 @query("""
+WITH c AS (SELECT p_size IS NULL AS gone, l_linenumber = 2 AS drift, l_quantity < l_linenumber OR l_quantity > p_size AS range, l_returnflag = 'N' OR l_linenumber = 5 AS digest
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 2)
 SELECT reason, count(*) AS n FROM (
-  SELECT CASE WHEN p_size IS NULL THEN 'unknown-source' WHEN p_brand = 'Brand#11' THEN 'removed-source' WHEN l_linenumber >= l_quantity OR l_quantity > p_size THEN 'bad-range' WHEN l_returnflag = 'N' THEN 'no-digest' ELSE 'valid' END AS reason
-  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 2) GROUP BY reason""")
+  SELECT unnest(CASE WHEN gone THEN ['unknown-source'] WHEN NOT drift AND NOT range AND NOT digest THEN ['valid']
+    ELSE list_filter([CASE WHEN drift THEN 'hash-drift' END, CASE WHEN range THEN 'bad-range' END, CASE WHEN digest THEN 'bad-digest' END], lambda x: x IS NOT NULL) END) AS reason FROM c) GROUP BY reason""")
 def citation_audit(t: Tables) -> DataFrame:
-    citations = t.lineitem.select(F.col("l_partkey").alias("source_id"), F.col("l_linenumber").alias("start"), F.col("l_quantity").alias("end"), F.when(F.col("l_returnflag") == "N", "").otherwise("x").alias("digest"))
-    sources = t.part.where("p_size > 2").select(F.col("p_partkey").alias("source_id"), F.col("p_size").alias("size"), F.when(F.col("p_brand") == "Brand#11", "removed").otherwise("active").alias("status"))
-    return E.audit_citations(citations, sources)
+    return E.audit_citations(*_audited(t))
 
 
 @query("""
-WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS span, string_split(text, chr(10))[-1] AS claim FROM documents)
-SELECT count(*) FILTER (contains(claim, span)) AS covered, count(*) AS total, count(*) FILTER (contains(claim, span)) / count(*)::DOUBLE AS ratio FROM d""")
+WITH facts AS (SELECT doc_id, string_split(text, chr(10))[1] AS span FROM documents), claims AS (SELECT DISTINCT string_split(text, chr(10))[-1] AS claim FROM documents),
+hit AS (SELECT DISTINCT span FROM facts WHERE EXISTS (SELECT 1 FROM claims WHERE contains(claim, span)))
+SELECT count(*) FILTER (hit.span IS NOT NULL) AS covered, count(*) AS total, count(*) FILTER (hit.span IS NOT NULL) / count(*)::DOUBLE AS ratio FROM facts LEFT JOIN hit ON facts.span = hit.span""")
 def coverage_ratio(t: Tables) -> DataFrame:
-    facts = t.documents.select(F.col("doc_id").alias("fact_id"), F.col("doc_id").alias("doc"), F.substring_index("text", "\n", 1).alias("span"))
-    return E.coverage(facts, t.documents.select(F.col("doc_id").alias("doc"), F.substring_index("text", "\n", -1).alias("text")))
+    facts = t.documents.select(F.col("doc_id").alias("fact_id"), F.substring_index("text", "\n", 1).alias("span"))
+    return E.coverage(facts, t.documents.select(F.substring_index("text", "\n", -1).alias("text")))
 
 
 @query()
 def coverage_lines(t: Tables) -> DataFrame:
-    """All lines with text are facts; the claim of a document is its whole text without the lines that a hash picks, one of eight."""
+    """All lines with text are facts; the claims are the documents' whole texts without the lines that a hash picks, one of eight."""
     lines = t.documents.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
     spans = lines.select("doc", F.posexplode("lines").alias("pos", "span")).where(F.trim("span") != "")
     kept = F.filter("lines", lambda x: F.crc32(x.cast("binary")) % 8 != 0)
-    return E.coverage(spans.select(F.concat_ws(":", "doc", "pos").alias("fact_id"), "doc", "span"), lines.select("doc", F.array_join(kept, "\n").alias("text")))
+    return E.coverage(spans.select(F.concat_ws(":", "doc", "pos").alias("fact_id"), "span"), lines.select(F.array_join(kept, "\n").alias("text")))
 
 
 @query("""
@@ -138,6 +148,22 @@ def cross_doc_synthesis_all(t: Tables) -> DataFrame:
     return _synthesis(t, t.lineitem)
 
 
+@query("""
+SELECT true AS deterministic UNION ALL
+SELECT (SELECT count(*) FROM documents WHERE source = 'src3') = 0""")
+def determinism(t: Tables) -> DataFrame:
+    """The same manifest twice, dealt and ordered otherwise; and one in which a source's files have changed."""
+    one, other, changed = _manifests(t)
+    return E.same_manifest(one, other).unionByName(E.same_manifest(one, changed))
+
+
+def _manifests(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = t.documents.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.col("text").alias("content"), "source")
+    draft = F.when(F.col("source") == "src3", F.concat("content", F.lit(" (draft)"))).otherwise(F.col("content"))
+    return I.manifest(files, "kb"), I.manifest(files.repartition(7, "content"), "kb"), I.manifest(files.withColumn("content", draft), "kb")
+
+
 @query()
 def release_gates(t: Tables) -> DataFrame:
-    return E.gates(coverage_lines(t), citation_audit(t), hallucination_ratio(t), cross_doc_synthesis(t), True)
+    one, other, _ = _manifests(t)
+    return E.gates(coverage_lines(t), E.audit_totals(*_audited(t)), hallucination_ratio(t), cross_doc_synthesis(t), E.same_manifest(one, other))

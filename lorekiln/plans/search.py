@@ -156,7 +156,7 @@ def truncation_limit_plus_one(t: Tables) -> DataFrame:
 def snippets(t: Tables) -> DataFrame:
     """Sixteen tokens around the query's words for each of the best hits."""
     hits = _docs(t, 10).join(t.documents.select("doc_id", "text"), "doc_id")
-    return hits.select("doc_id", T.snippet(F.col("text"), T.query_terms(F.lit(ASK))).alias("snippet"))
+    return hits.select("doc_id", T.snippet(F.col("text"), F.lit(ASK)).alias("snippet"))
 
 
 @query()

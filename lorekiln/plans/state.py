@@ -12,22 +12,23 @@ from .tables import Tables, registry
 QUERIES, SQL, query = registry()
 
 WANTED = {"signup": "QUEUED", "view": "RUNNING", "purchase": "COMPLETED", "error": "INTERRUPTED", "click": "QUEUED"}
-_WANTED = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'INTERRUPTED' ELSE 'QUEUED' END"
+_WANTED = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'RUNNING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'restart' ELSE 'INTERRUPTED' END ELSE 'QUEUED' END"
 _FINAL = f"""
 WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {_WANTED} AS w FROM events),
 s AS (
   SELECT user_id, 0::BIGINT AS i, NULL::VARCHAR AS state, 0::BIGINT AS accepted FROM e WHERE i = 1
   UNION ALL
   SELECT user_id, i, CASE WHEN ok THEN w ELSE state END, accepted + ok::INT FROM (
-    SELECT s.user_id, e.i, s.state, s.accepted, w, CASE WHEN state IS NULL THEN w = 'QUEUED' WHEN state = 'QUEUED' THEN w IN ('RUNNING', 'CANCELLED', 'INTERRUPTED')
-      WHEN state = 'RUNNING' THEN w IN ('COMPLETED', 'FAILED', 'CANCELLED', 'INTERRUPTED', 'REPLAN_REQUIRED') WHEN state = 'INTERRUPTED' THEN w = 'QUEUED' ELSE false END AS ok
+    SELECT s.user_id, e.i, s.state, s.accepted, w, CASE WHEN state IS NULL THEN w = 'QUEUED' WHEN state = 'QUEUED' THEN w <> 'QUEUED'
+      WHEN state = 'RUNNING' THEN w IN ('COMPLETED', 'FAILED', 'CANCELLED', 'INTERRUPTED', 'REPLAN_REQUIRED', 'restart') WHEN state = 'restart' THEN w = 'QUEUED' ELSE false END AS ok
     FROM s JOIN e ON s.user_id = e.user_id AND e.i = s.i + 1))
-SELECT user_id AS job_id, max_by(state, i) AS state, max(accepted) AS accepted FROM s GROUP BY user_id"""
+SELECT user_id AS job_id, replace(max_by(state, i), 'restart', 'INTERRUPTED') AS state, max(accepted) AS accepted FROM s GROUP BY user_id"""
 
 
 def _events(t: Tables) -> DataFrame:
     wanted = F.create_map(*[F.lit(x) for pair in WANTED.items() for x in pair])
-    return t.events.select("event_id", "ts", F.col("user_id").alias("job_id"), F.element_at(wanted, F.col("event_type")).alias("wanted"))
+    restart = (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)  # every other interruption is a restart's
+    return t.events.select("event_id", "ts", F.col("user_id").alias("job_id"), F.when(restart, S.RESTART).otherwise(F.element_at(wanted, F.col("event_type"))).alias("wanted"))
 
 
 @query(_FINAL)
@@ -105,7 +106,13 @@ def idempotent_requests(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NULL OR gap >= 3600000000""")
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (
+  SELECT user_id, event_id, i, us AS last, true AS passes FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.i, CASE WHEN e.us - s.last >= 86400000000 THEN e.us ELSE s.last END, e.us - s.last >= 86400000000
+  FROM s JOIN e ON s.user_id = e.user_id AND e.i = s.i + 1)
+SELECT event_id FROM s WHERE passes""")
 def progress_throttled(t: Tables) -> DataFrame:
-    """Progress is written at most once an hour and user."""
-    return S.throttled(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", 3600).select("event_id")
+    """Progress is written at most once a day and user."""
+    return S.throttled(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", 86_400, "event_id").select("event_id")

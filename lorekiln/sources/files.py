@@ -56,7 +56,7 @@ def _quoted(text: str) -> str:
 
 def collisions(pages: DataFrame) -> DataFrame:
     """File names that two pages of a generation would share."""
-    return pages.groupBy(F.lower(page_file_name(F.col("title"), F.col("page_id"))).alias("file")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return pages.groupBy(F.lower(page_file_name(F.col("slug"), F.col("page_id"))).alias("file")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 class Generations:
@@ -87,7 +87,7 @@ class Generations:
         """Pages (page_id, title, content, body_hash). Names that collide are refused before anything is written."""
         if not collisions(pages).isEmpty():
             raise ValueError("pages share a file name")
-        pages.withColumn("file", page_file_name(F.col("title"), F.col("page_id"))).write.mode("errorifexists").parquet(self.path(build_id))
+        pages.withColumn("file", page_file_name(F.col("slug"), F.col("page_id"))).write.mode("errorifexists").parquet(self.path(build_id))
 
     def read(self, build_id: str | None = None) -> DataFrame:
         build_id = build_id or self.current()

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 # Backoff between tries.
 FIRST_WAIT, LONGEST_WAIT = 0.5, 8.0
 
@@ -131,7 +133,8 @@ def generate_cached(wanted: DataFrame, cache: DataFrame, provider: TextProvider,
                     out.append((key, answer))
             yield pd.DataFrame(out, columns=["cache_key", "response"])
 
-    gained = misses.select("cache_key", "prompt").mapInPandas(part, "cache_key string, response string")
+    # written: both results read it, and no miss may reach the provider twice
+    gained = written(misses.select("cache_key", "prompt").mapInPandas(part, "cache_key string, response string"), "cache-gained")
     answers = wanted.select("cache_key").join(cache.select("cache_key", "response").unionByName(gained), "cache_key", "left")
     return answers, gained
 

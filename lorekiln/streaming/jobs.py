@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.state import step
+from ..operators.state import RESTART, step
 
 JOB = "job_id long, state string, accepted long"
 
@@ -29,7 +29,7 @@ def job_states(events: DataFrame) -> DataFrame:
             accepted += after != now
             now = after
         state.update((now, accepted))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [now], "accepted": [accepted]})
+        yield pd.DataFrame({"job_id": [key[0]], "state": ["INTERRUPTED" if now == RESTART else now], "accepted": [accepted]})
 
     return events.groupBy("job_id").applyInPandasWithState(update, JOB, "state string, accepted long", "update", GroupStateTimeout.NoTimeout)
 
@@ -51,17 +51,16 @@ def budgeted(requests: DataFrame, seconds: int = 60, most: int = 120, evict: int
             state.remove()
             return
         start, n = state.get if state.exists else (None, 0)
-        at = 0
-        for rows in batches:
-            rows = rows.sort_values(["ts", "event_id"])
-            refused = []
-            for ts in rows["ts"]:
-                at = int(ts.timestamp() * 1_000_000)
-                if start is None or at - start >= seconds * 1_000_000:
-                    start, n = at, 0
-                n += 1
-                refused.append(n > most)
-            yield pd.DataFrame({"caller": rows["caller"], "ts": rows["ts"], "event_id": rows["event_id"], "refused": refused})
+        # one caller's requests of a micro-batch, whose Arrow batches are in no order
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        at, refused = 0, []
+        for ts in rows["ts"]:
+            at = int(ts.timestamp() * 1_000_000)
+            if start is None or at - start >= seconds * 1_000_000:
+                start, n = at, 0
+            n += 1
+            refused.append(n > most)
+        yield pd.DataFrame({"caller": rows["caller"], "ts": rows["ts"], "event_id": rows["event_id"], "refused": refused})
         state.update((start, n))
         state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + evict * 1000)
 

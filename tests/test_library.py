@@ -49,7 +49,7 @@ def test_entry(spark):
 
 
 def test_han_tokens_and_estimates(spark):
-    assert one(spark, T.tokens_han(F.lit("Ab 全文検 x１"))) == ["ab", "全", "全文", "文", "文検", "検", "x1"]
+    assert one(spark, T.tokens(F.lit("Ab 全文検 x１"))) == ["ab", "全", "全文", "文", "文検", "検", "x1"]
     assert one(spark, T.estimate_tokens(F.lit("全文検abcde"))) == 2 + 2 == markdown.estimate_tokens("全文検abcde")
     assert one(spark, T.estimate_tokens(F.lit(""))) == 1 == markdown.estimate_tokens("")
     assert one(spark, T.match_expression(F.lit("A b a"))) == '"a" OR "b"'
@@ -156,9 +156,9 @@ def test_components_and_clusters(spark):
 def test_lint_and_gates(spark):
     sections = spark.createDataFrame([("p", "concept", 2, "h", "word " * 40), ("q", "concept", 2, "h", "word " * 40 + '<!-- kb:cite claim="1" -->'), ("r", "index", 2, "h", "word " * 40)], "slug string, category string, level int, heading string, content string")
     assert [r["slug"] for r in lint.unsupported_sections(sections).collect()] == ["p"]
-    proposals = spark.createDataFrame([("a", " ", "concept", "x", ["1", "9"]), ("b", "t", "zzz", "x", ["1"])], "page string, title string, category string, purpose string, refs array<string>")
+    proposals = spark.createDataFrame([("a", " ", "concepts", "x", ["1", "9"]), ("b", "t", "concept", "x", ["1"])], "page string, title string, category string, purpose string, refs array<string>")
     nodes = spark.createDataFrame([("1",), ("2",)], "id string")
-    codes = {(r["page"], r["code"]) for r in lint.plan_codes(proposals, nodes).collect()}
+    codes = {(r["page"], r["code"]) for r in lint.plan_codes(proposals, nodes, merged=True).collect()}
     assert codes == {("a", "EMPTY_TITLE"), ("b", "UNKNOWN_CATEGORY"), ("a", "UNKNOWN_NODE_REF"), ("b", "DUPLICATE_NODE_ASSIGNMENT"), (None, "MISSING_NODE_COVERAGE")}
     pages = spark.createDataFrame([("p", 'x [[Nope]] <!-- kb:cite claim="c9" --> <!-- open')], "page_id string, content string")
     claims, titles = spark.createDataFrame([("p", "c1")], "page_id string, claim_id string"), spark.createDataFrame([("Yes",)], "title string")
@@ -212,7 +212,7 @@ def test_streams_equal_batch(spark, tmp_path):
     from lorekiln.streaming import jobs
 
     at = datetime.datetime(2024, 1, 1)
-    wanted = ["QUEUED", "RUNNING", "QUEUED", "INTERRUPTED", "QUEUED", "RUNNING", "COMPLETED", "RUNNING"]
+    wanted = ["QUEUED", "RUNNING", "QUEUED", "SERVER_RESTART", "QUEUED", "RUNNING", "COMPLETED", "RUNNING"]
     rows = [(j, at + datetime.timedelta(seconds=i), i, w) for j in (1, 2) for i, w in enumerate(wanted[: 8 - j])]
     events = spark.createDataFrame(rows, "job_id long, ts timestamp, event_id long, wanted string")
     for n in range(2):

@@ -1,14 +1,18 @@
 """Registered queries that no SQL covers, against plain Python over all rows of their tables."""
 
+import hashlib
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lorekiln.engine import KnowledgeBase
-from lorekiln.operators import lint, retrieval
+from lorekiln.functions import text
+from lorekiln.operators import evaluation, lint, records, retrieval, state
+from lorekiln.sources import providers
 
 
 def table(sf, name, columns):
@@ -164,12 +168,13 @@ def test_synthesis_of_all_lines(spark, sf):
 
 
 def test_coverage_of_all_lines(spark, sf):
-    covered = total = 0
-    for (text,) in table(sf, "documents", "text"):
-        lines = (text or "").split("\n")
-        claim = "\n".join(x for x in lines if zlib.crc32(x.encode()) % 8)
-        facts = [x for x in lines if x.strip(" ")]
-        covered, total = covered + sum(x in claim for x in facts), total + len(facts)
+    facts, claims = [], []
+    for (body,) in table(sf, "documents", "text"):
+        lines = (body or "").split("\n")
+        claims.append("\n".join(x for x in lines if zlib.crc32(x.encode()) % 8))
+        facts += [x for x in lines if x.strip(" ")]
+    said = "\0".join(claims)  # a fact of any document, in any claim
+    covered, total = sum(x in said for x in facts), len(facts)
     row = entry.queries()["coverage_lines"](spark, sf).first()
     assert (row["covered"], row["total"]) == (covered, total) and 0 < covered < total
     assert total > entry.queries()["coverage_ratio"](spark, sf).first()["total"]
@@ -197,3 +202,83 @@ def test_engine_runs_all_eight_checks(spark, tmp_path):
     assert {r["check"] for r in found} == set(lint.CHECKS)
     slugs = {c: [r["slug"] for r in found if r["check"] == c] for c in lint.CHECKS}
     assert slugs["orphan-page"] == ["a", "d"] and slugs["unsupported-section"] == ["a"] and slugs["duplicate-concept"] == ["d"]
+
+
+def test_coverage_of_short_and_odd_spans(spark):
+    claims = ["the quick brown fox jumps", "over  the lazy dog", "", "ab", "x\ty z"]
+    spans = ["quick brown", "ick bro", "q", "fox jumps over", "he lazy d", "the  lazy", "ab", "abc", "", "x\ty", "x y", "brown fox jumps", "e quick brown fox j", "he quick brown ox ju", " dog", "g "]
+    found = evaluation.coverage(spark.createDataFrame(list(enumerate(spans)), "fact_id int, span string"), spark.createDataFrame([(c,) for c in claims], "text string")).first()
+    assert (found["covered"], found["total"]) == (sum(any(s in c for c in claims) for s in spans), len(spans))
+    assert evaluation.coverage(spark.createDataFrame([], "fact_id int, span string"), spark.createDataFrame([("c",)], "text string")).first()["ratio"] == 1.0
+
+
+def test_slugs_stay_unique(spark):
+    slugs = ["a", "a-2", "a", "a", "a-2", "b", "a-2-2", "a", "b"]
+    pages = spark.createDataFrame(list(enumerate(slugs)), "i int, slug string").repartition(3)
+    seen, wanted = set(), []
+    for s in slugs:
+        found, n = s, 2
+        while found in seen:
+            found, n = f"{s}-{n}", n + 1
+        seen.add(found)
+        wanted.append(found)
+    assert [r["unique_slug"] for r in records.unique_slugs(pages, "i").orderBy("i").collect()] == wanted
+
+
+def test_citations_are_expanded_in_order(spark, sf):
+    lines = table(sf, "lineitem", "l_orderkey, l_partkey, l_suppkey, l_linenumber")
+    first, cited = {}, {}
+    for o, p, s, n in lines:
+        if n == 1:
+            first[p, s] = min(o, first.get((p, s), o))
+        if n <= 3:
+            cited.setdefault(o, []).append(str(p))
+    suppliers = {}
+    for p, s in sorted(first):
+        suppliers.setdefault(str(p), []).append(s)
+    found = {r["page_id"]: r for r in entry.queries()["expanded_citations"](spark, sf).collect()}
+    assert set(found) == set(cited)
+    for o, claims in cited.items():
+        out, paths, n = [], {}, 0
+        for claim in sorted(f'said <!-- kb:cite claim="{c}" -->' for c in claims):
+            c = claim.split('"')[1]
+            full = []
+            for s in suppliers.get(c, ()):
+                start = first[int(c), s]
+                full.append(f'<!-- kb:cite claim="{c}" source="s/{s}" section="A > B" range="{start}-{start + 1}" digest="{hashlib.md5(str(start).encode()).hexdigest()}" -->')
+                paths[f"s/{s}"] = None
+            n += len(full)
+            out.append("said " + " ".join(full))
+        assert (found[o]["body_sha256"], found[o]["citations"], found[o]["sources"]) == (hashlib.sha256("\n".join(out).encode()).hexdigest(), n, "|".join(paths))
+
+
+def test_each_miss_reaches_the_provider_once(spark, tmp_path):
+    def note(prompt):
+        (tmp_path / str(len(list(tmp_path.iterdir())))).write_text(prompt)
+        return prompt.upper()
+
+    wanted = spark.createDataFrame([("k1", "a"), ("k2", "b")], "cache_key string, prompt string").coalesce(1)
+    answers, gained = providers.generate_cached(wanted, spark.createDataFrame([], "cache_key string, response string"), providers.FakeText(note))
+    assert answers.count() == gained.count() == len(answers.collect()) == 2 and len(list(tmp_path.iterdir())) == 2
+
+
+def test_progress_passes_against_the_last_write(spark):
+    rows = [(1, f"2024-01-01 00:00:{i / 2:04.1f}", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "job_id int, ts string, i int").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(r["i"] for r in state.throttled(df).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_words_are_the_same_in_python_and_columns(spark, sf):
+    texts = [x for (x,) in table(sf, "documents", "text") if x][:60] + ["Ab 全文検 x１", "ＦＵＬＬ ＷＩＤＴＨ", "e\u0301té", "ひらがなと漢字mixed4", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", text.tokens("x").alias("w")).collect()
+    assert {r["i"]: r["w"] for r in rows} == {i: text.words_of(x) for i, x in enumerate(texts)}
+
+
+def test_chinese_search_in_the_engine(spark, tmp_path):
+    source = tmp_path / "docs"
+    source.mkdir()
+    (source / "a.md").write_text("# 全文検索システム\n\n検索の話\n")
+    (source / "b.md").write_text("# Other\n\nnothing of the kind\n")
+    kb = KnowledgeBase(spark, str(tmp_path / "state"))
+    kb.build(str(source), "b1")
+    assert [r["path"] for r in kb.search("検索").collect()] == ["a.md"] and "[検索]" in kb.search("検索").first()["snippet"]
