@@ -45,10 +45,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
 
+#: Setting of the session that names a folder for op8's cache; unset, each call has one of its own.
+TOKEN_CACHE = "spark.lorekiln.tokenCache"
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), spark.conf.get(TOKEN_CACHE, None))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

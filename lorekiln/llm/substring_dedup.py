@@ -3,8 +3,10 @@
 Non-overlapping reference blocks of half a window index every document; every rolling window of
 a block's length probes that index. Of two equal windows, the one that stands earlier holds a
 whole reference block, wherever it starts, so both hold a place at which a probe and a block
-agree (an anchor). Windows that hold anchors are the only candidates. They are compared by
-128-bit hashes of all their words, and what remains, merged, are the maximal exact repeats.
+agree (an anchor). Hits are extended to windows around their anchors, which are compared by
+128-bit hashes of all their words, and what remains, merged, are the maximal exact repeats. They are not
+extended along pairs of documents: a window's earlier copy may stand in another document than
+its anchor's earliest one, and all pairs of a passage's holders would have to be looked at.
 
 Probes go to buckets of the hash space as six bytes of hash and about two of place each, after
 batches have combined their own. No pairs are made: a passage with n occurrences gives n rows

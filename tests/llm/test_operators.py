@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekiln.llm import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity
+from lorekiln.llm import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, queries, substring_dedup, token_counts, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, `a.b` string"
@@ -147,6 +147,12 @@ def test_line_dedup(spark, docs, rows):
     assert line_dedup.report(empty(spark)).count() == 0
 
 
+def test_line_dedup_numbers_repeated_and_null_ids(spark):
+    text = "\n".join(f"line {i}" for i in range(5))
+    found = line_dedup.line_dedup(make(spark, [(1, text, "s"), (1, text, "s"), (None, text, "s"), (None, None, "s")]))
+    assert sorted((r["doc_id"] is None, r["n_lines"], r["n_removed"]) for r in found.collect()) == [(False, 5, 0), (False, 5, 5), (True, 1, 0), (True, 5, 5)]
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
@@ -303,6 +309,19 @@ def test_token_counts_and_their_cache(spark, docs, rows, tmp_path, name):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_token_counts_of_a_second_run_come_from_the_cache(spark, sf, tmp_path, monkeypatch):
+    spark.conf.set(queries.TOKEN_CACHE, f"file://{tmp_path}/kept")
+    try:
+        first = sorted(map(tuple, queries.op8_token_counts(spark, sf).collect()))
+        files = {p.name for p in (tmp_path / "kept").glob("*.parquet")}
+        known = spark.read.parquet(f"file://{tmp_path}/kept").count()
+        assert first == sorted(map(tuple, queries.op8_token_counts(spark, sf).collect()))
+        again = spark.read.parquet(f"file://{tmp_path}/kept")
+        assert again.count() == known and files <= {p.name for p in (tmp_path / "kept").glob("*.parquet")}
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
