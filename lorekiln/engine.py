@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import context as C
 from .operators import ingest, lint, retrieval, versions
+from .operators.state import clamped
 from .sources import files, markdown, providers
+from .sources.tables import remove
 
 
 class KnowledgeBase:
@@ -51,12 +53,25 @@ class KnowledgeBase:
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda s: s["content"]), "\n\n")
         pages = sections.groupBy("path").agg(title.alias("title"), body.alias("content"), F.first("language").alias("language"))
         pages = pages.select(F.concat(F.lit("wp_"), F.sha2("path", 256)).alias("page_id"), T.slug(F.regexp_replace("path", r"\.mdx?$", "")).alias("slug"), "title", "content", F.sha2("content", 256).alias("body_hash"), "path", F.coalesce("language", T.language("content", path=F.col("path"))).alias("language"))
-        posting, lengths = retrieval.postings(self._indexed(sections), "section_id", F.col("words"))
-        out(posting.repartition("term").sortWithinPartitions("term"), "postings")
-        out(lengths, "lengths")
+        retrieval.store_index(self._indexed(sections), "section_id", F.col("words"), self._index(build_id))
         self.store.publish(pages, build_id)
         return "published"
 
+    def _index(self, build_id: str) -> str:
+        return f"{self.root}/index/build_id={build_id}"
+
+    def ensure_index(self) -> bool:
+        """Whether the index covers exactly the active build's sections; if not, it is built again."""
+        build_id = self.store.current()
+        if build_id is None:
+            return False
+        sections = self._indexed(self._table("sections"))
+        drift = retrieval.index_drift(self.spark.read.parquet(f"{self._index(build_id)}/lengths"), sections.select(F.col("section_id").alias("id"))).first()
+        if not drift["matches"]:
+            remove(self.spark, self._index(build_id))
+            retrieval.store_index(sections, "section_id", F.col("words"), self._index(build_id))
+        return drift["matches"]
+
     @staticmethod
     def _indexed(sections: DataFrame) -> DataFrame:
         key = F.concat_ws("#", "path", F.col("ord").cast("string")).alias("section_id")
@@ -68,7 +83,10 @@ class KnowledgeBase:
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """rank, path, heading_path, score, exact, snippet of the active build's sections."""
-        hits = retrieval.search_postings(self._table("postings"), self._table("lengths"), query, max(1, min(limit, 50)))
+        build_id = self.store.current()
+        if build_id is None:
+            raise LookupError("nothing is published")
+        hits = retrieval.search_stored(self.spark, self._index(build_id), query, clamped(limit, 50))
         sections = self._indexed(self._table("sections"))
         joined = retrieval.ranked(hits, F.desc("score"), "id").join(sections, F.col("id") == F.col("section_id"))
         exact = retrieval.exact_match(query, F.array_join("heading_path", " "), F.col("content"))

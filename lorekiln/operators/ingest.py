@@ -18,13 +18,14 @@ def manifest(files: DataFrame, workspace: str) -> DataFrame:
 def snapshot_hash(entries: DataFrame) -> DataFrame:
     """snapshot_hash, entries: one digest of a manifest that changes with any of its lines.
 
-    Lines are hashed in 256 ranges of their locators and the range digests are hashed in order, so
-    no task holds the whole manifest.
+    Each line's SHA-256 is four numbers of 64 bits; these are added up over all lines, in any order and with
+    map-side sums, and the sums are hashed with the number of lines. No task holds more than a row of sums.
     """
-    line = F.concat_ws("\x1f", "rel_path", "locator_key", "content_hash", F.col("size").cast("string"))
-    ranges = entries.groupBy(F.substring("locator_key", 5, 2).alias("range")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
-    # 256 rows at most
-    return ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("snapshot_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
+    line = F.sha2(F.concat_ws("\x1f", "rel_path", "locator_key", "content_hash", F.col("size").cast("string")), 256)
+    part = lambda i: F.conv(F.substring("line", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = entries.select(line.alias("line")).agg(F.count(F.lit(1)).alias("entries"), *[F.sum(part(i)).alias(f"s{i}") for i in range(4)])
+    text = F.concat_ws("\n", F.col("entries").cast("string"), *[F.coalesce(f"s{i}", F.lit(0)).cast("string") for i in range(4)])
+    return sums.select(F.sha2(text, 256).alias("snapshot_hash"), "entries")
 
 
 def manifest_diff(registered: DataFrame, scanned: DataFrame) -> DataFrame:

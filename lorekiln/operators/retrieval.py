@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
@@ -75,6 +75,69 @@ def search_postings(posting: DataFrame, lengths: DataFrame, query: str, k: int)
     return joined.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Buckets by a hash of the term that a stored index is dealt to, and parts of each, so that a frequent word fills no one task.
+BUCKETS, PARTS = 32, 8
+_POSTING = "term", "id", "tf", "dl"
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store_index(rows: DataFrame, id_col: str, words: Column, path: str) -> None:
+    """Write postings (term, id, tf, dl) by bucket, lengths (id, dl), and term frequencies (term, df) by bucket.
+
+    ``rows`` are a generation's sections; what a query needs beyond its terms' postings is a row of statistics.
+    """
+    posting, lengths = postings(rows, id_col, words)
+    _write_index(posting.join(lengths, "id"), lengths, path)
+
+
+def _write_index(posting: DataFrame, lengths: DataFrame, path: str) -> None:
+    dealt = posting.select(*_POSTING, _bucket(F.col("term")).alias("bucket"))
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+    dealt.repartition("bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.select("id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean")).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def _stored_postings(spark: SparkSession, path: str) -> DataFrame:
+    """The schema is given, for an index without words has no files."""
+    kind = dict(spark.read.parquet(f"{path}/lengths").dtypes)["id"]
+    return spark.read.schema(f"term string, id {kind}, tf long, dl long, bucket int").parquet(f"{path}/postings")
+
+
+def search_stored(spark: SparkSession, path: str, query: str, k: int) -> DataFrame:
+    """As ``bm25``, from a stored index: the buckets of the query's terms are read, one aggregation follows."""
+    asked = spark.range(1).select(query_terms(F.lit(query), fold=True).alias("t")).select("t", F.transform("t", _bucket).alias("b")).first()
+    terms, buckets = asked["t"] or [""], asked["b"] or [-1]
+    hits = _stored_postings(spark, path).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
+    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(spark.read.parquet(f"{path}/statistics")))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    return joined.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataFrame, id_col: str, words: Column, to: str) -> None:
+    """Write the index at ``path`` anew with rows that changed or came (``changed``) and without those of ``gone`` (id).
+
+    Postings of all other rows are carried over; only changed rows are tokenised.
+    """
+    fresh, fresh_lengths = postings(changed, id_col, words)
+    touched = gone.select("id").union(changed.select(id_col)).distinct()
+    posting = _stored_postings(spark, path).join(touched, "id", "left_anti").select(*_POSTING).unionByName(fresh.join(fresh_lengths, "id").select(*_POSTING))
+    lengths = spark.read.parquet(f"{path}/lengths").join(touched, "id", "left_anti").select("id", "dl")
+    _write_index(posting, lengths.unionByName(fresh_lengths), to)
+
+
+def index_drift(lengths: DataFrame, active: DataFrame) -> DataFrame:
+    """missing, surplus, matches: ids of the active generation that the index lacks, and of the index that are not active."""
+    both = lengths.select("id", F.lit(1).alias("indexed")).join(active.select("id", F.lit(1).alias("active")), "id", "full_outer")
+    counted = both.agg(F.count(F.when(F.col("indexed").isNull(), 1)).alias("missing"), F.count(F.when(F.col("active").isNull(), 1)).alias("surplus"))
+    return counted.withColumn("matches", (F.col("missing") == 0) & (F.col("surplus") == 0))
+
+
 def exact_match(query: str, *columns: Column) -> Column:
     """Whether all words of the query are among the columns' words; never for an empty query."""
     wanted = query_terms(F.lit(query))

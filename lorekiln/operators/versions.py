@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def match_sections(previous: DataFrame, current: DataFrame) -> DataFrame:
     """source_id, ord, outcome (carried, ambiguous, created, retired), section_id.
@@ -49,18 +51,33 @@ def apply_matches(previous: DataFrame, current: DataFrame, matches: DataFrame) -
     return live.unionByName(gone)
 
 
+def _matched(old: DataFrame, new: DataFrame) -> DataFrame:
+    """o, o_slug, n, n_slug, shared, is_best, flows: each new page's best old page and each old page's best new one.
+
+    Pages meet by an equi-join over refs (plans that are valid give a ref to one page, so it is one to one); how many refs
+    two pages share is written once, and only the best of each side go on, at most a row for each page.
+    """
+    o = old.select(F.col("page_id").alias("o"), F.col("slug").alias("o_slug"), F.explode(F.array_distinct("refs")).alias("ref"))
+    n = new.select(F.col("page_id").alias("n"), F.col("slug").alias("n_slug"), F.explode(F.array_distinct("refs")).alias("ref"))
+    overlap = written(o.join(n, "ref").groupBy("o", "o_slug", "n", "n_slug").agg(F.count(F.lit(1)).alias("shared")), "plan-overlap")
+    best = lambda by, slug, other: overlap.groupBy(by).agg(F.min(F.struct((-F.col("shared")).alias("less"), F.col(slug).alias("s"), F.col(other).alias("x"))).alias("top"))
+    of_new = best("n", "o_slug", "o").select("n", F.col("top.x").alias("o"), F.lit(True).alias("is_best"))
+    of_old = best("o", "n_slug", "n").select(F.col("top.x").alias("n"), "o", F.lit(True).alias("flows"))
+    chosen = of_new.join(of_old, ["n", "o"], "full_outer").select("n", "o", F.coalesce("is_best", F.lit(False)).alias("is_best"), F.coalesce("flows", F.lit(False)).alias("flows"))
+    return written(overlap.join(chosen, ["o", "n"]), "plan-matches")
+
+
 def plan_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of the new pages (page_id, class, kept_id) and fates of the old ones (page_id, fate, successor).
 
     Both have page_id, slug, title, category, refs (array). Two pages overlap by the number of refs that both
-    hold; only pairs that overlap are ever formed, by an equi-join over refs. Of new pages: 'split' (their best old page
+    hold. Of new pages: 'split' (their best old page
     is the best of several), 'merged', 'unchanged', 'modified' or 'created'. Of old ones: 'split', 'merged', 'kept' or 'retired'.
     """
-    o = old.select(F.col("page_id").alias("o"), F.col("slug").alias("o_slug"), F.explode(F.array_distinct("refs")).alias("ref"))
-    n = new.select(F.col("page_id").alias("n"), F.col("slug").alias("n_slug"), F.explode(F.array_distinct("refs")).alias("ref"))
-    overlap = o.join(n, "ref").groupBy("o", "o_slug", "n", "n_slug").agg(F.count(F.lit(1)).alias("shared"))
-    first = lambda by, tie: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("shared"), tie)) == 1
-    pairs = overlap.withColumn("is_best", first("n", "o_slug")).withColumn("flows", first("o", "n_slug"))
+    return _classified(old, new, _matched(old, new))
+
+
+def _classified(old: DataFrame, new: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     claims = F.sum(F.col("is_best").cast("int")).over(Window.partitionBy("o"))
     pairs = pairs.withColumn("is_split", claims >= 2)
     sizes_o, sizes_n = old.select(F.col("page_id").alias("o"), F.size(F.array_distinct("refs")).alias("o_size"), F.trim("title").alias("o_title"), F.col("category").alias("o_category")), new.select(F.col("page_id").alias("n"), F.size(F.array_distinct("refs")).alias("n_size"), F.trim("title").alias("n_title"), F.col("category").alias("n_category"))
@@ -93,15 +110,13 @@ def plan_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def page_id_map(old: DataFrame, new: DataFrame) -> DataFrame:
     """predecessor, successor, kind (keep, merge, split, retire): one row for each way of an old page."""
-    classes, ends = plan_diff(old, new)
+    pairs = _matched(old, new)
+    classes, ends = _classified(old, new, pairs)
     names = classes.select(F.col("page_id").alias("successor"), F.coalesce("kept_id", "page_id").alias("name"))
     simple = ends.where("fate <> 'split'").join(names, "successor", "left")
     kinds = F.when(F.col("fate") == "kept", "keep").when(F.col("fate") == "merged", "merge").otherwise("retire")
     rows = simple.select(F.col("page_id").alias("predecessor"), F.col("name").alias("successor"), kinds.alias("kind"))
-    o = old.select(F.col("page_id").alias("o"), F.col("slug").alias("o_slug"), F.explode(F.array_distinct("refs")).alias("ref"))
-    n = new.select(F.col("page_id").alias("n"), F.explode(F.array_distinct("refs")).alias("ref"))
-    overlap = o.join(n, "ref").groupBy("o", "o_slug", "n").agg(F.count(F.lit(1)).alias("shared"))
-    best = overlap.withColumn("nth", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("shared"), "o_slug"))).where("nth = 1")
+    best = pairs.where("is_best").select("o", "n")
     split = best.join(ends.where("fate = 'split'").select(F.col("page_id").alias("o")), "o")
     return rows.unionByName(split.select(F.col("o").alias("predecessor"), F.col("n").alias("successor"), F.lit("split").alias("kind")))
 

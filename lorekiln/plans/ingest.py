@@ -31,11 +31,13 @@ def scan_manifest(t: Tables) -> DataFrame:
     return I.manifest(_files(t), "kb")
 
 
+_SUMS = ", ".join(f"sum(CAST('0x' || substr(line, {16 * i + 1}, 16) AS HUGEINT)) AS s{i}" for i in range(4))
+
+
 @query(f"""
-WITH m AS ({_MANIFEST}),
-ranges AS (SELECT substr(locator_key, 5, 2) AS range, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) AS n
-  FROM (SELECT locator_key, concat_ws(chr(31), rel_path, locator_key, content_hash, CAST(size AS VARCHAR)) AS line FROM m) GROUP BY 1)
-SELECT sha256(string_agg(digest, chr(10) ORDER BY range)) AS snapshot_hash, CAST(sum(n) AS BIGINT) AS entries FROM ranges""")
+WITH m AS (SELECT sha256(concat_ws(chr(31), rel_path, locator_key, content_hash, CAST(size AS VARCHAR))) AS line FROM ({_MANIFEST})),
+sums AS (SELECT count(*) AS entries, {_SUMS} FROM m)
+SELECT sha256(concat_ws(chr(10), entries, s0, s1, s2, s3)) AS snapshot_hash, entries FROM sums""")
 def snapshot_hash(t: Tables) -> DataFrame:
     return I.snapshot_hash(I.manifest(_files(t), "kb"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import retrieval as R
+from ..sources.tables import new_path
 from .tables import Tables, registry
 
 QUERIES, SQL, query = registry()
@@ -58,6 +59,63 @@ def bm25_from_index(t: Tables) -> DataFrame:
     return R.search_postings(posting, lengths, ASK, 20).select("id", F.round("score", 6).alias("score"))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _index(t: Tables, kind: str, rows, id_col: str, *columns: str) -> str:
+    """The stored index of a folder's table, built by the first query of a session that asks for it."""
+    key = (t.spark.sparkContext.applicationId, f"{t.sf_dir}/{kind}")
+    if key not in _stored:
+        path = new_path(t.spark, f"index-{kind}")
+        R.store_index(rows, id_col, R.index_tokens(*[F.col(c) for c in columns]), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def _stored_docs(t: Tables, k: int) -> DataFrame:
+    return R.search_stored(t.spark, _index(t, "documents", t.documents, "doc_id", "text"), ASK, k)
+
+
+def _stored_turns(t: Tables, k: int) -> DataFrame:
+    turns = t.conversations.withColumn("section_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return R.search_stored(t.spark, _index(t, "conversations", turns, "section_id", "role", "text"), ASK, k)
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_bm25_sql(_DOCS, 20)})")
+def bm25_stored(t: Tables) -> DataFrame:
+    """From an index on disk, of which the terms' buckets are read."""
+    return _stored_docs(t, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_bm25_sql(_DOCS, 20)})")
+def index_update(t: Tables) -> DataFrame:
+    """An index of older documents (some other, some since deleted, some missing), brought up to date and searched."""
+    docs, path, to = t.documents.select("doc_id", "text"), new_path(t.spark, "index-old"), new_path(t.spark, "index-new")
+    draft = F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit(" worthless draft"))).otherwise(F.col("text"))
+    old = docs.where("doc_id % 11 <> 5").withColumn("text", draft).unionByName(docs.where("doc_id % 5 = 1").withColumn("doc_id", -F.col("doc_id") - 1))
+    R.store_index(old, "doc_id", R.index_tokens(F.col("text")), path)
+    changed = docs.where("doc_id % 7 = 3 OR doc_id % 11 = 5")
+    gone = old.where("doc_id < 0").select(F.col("doc_id").alias("id"))
+    R.update_index(t.spark, path, changed, gone, "doc_id", R.index_tokens(F.col("text")), to)
+    return R.search_stored(t.spark, to, ASK, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 0 AS missing, 0 AS surplus, true AS matches UNION ALL SELECT count(*) FILTER (doc_id % 4 = 0), 0, count(*) FILTER (doc_id % 4 = 0) = 0 FROM documents UNION ALL SELECT 0, count(*) FILTER (doc_id % 9 = 0), count(*) FILTER (doc_id % 9 = 0) = 0 FROM documents")
+def index_drift(t: Tables) -> DataFrame:
+    ids = t.documents.select(F.col("doc_id").alias("id"))
+    return R.index_drift(ids, ids).unionByName(R.index_drift(ids.where("id % 4 <> 0"), ids)).unionByName(R.index_drift(ids, ids.where("id % 9 <> 0")))
+
+
+@query(f"""
+WITH h AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM ({_bm25_sql(_DOCS, 30)}))
+SELECT id, row_number() OVER (ORDER BY CASE WHEN r % 3 = 0 THEN -r END NULLS LAST, score DESC, id) - 1 AS rank FROM h""")
+def rerank_order(t: Tables) -> DataFrame:
+    """A reranker that knows every third hit and turns their order round; the others follow by score."""
+    hits = R.ranked(_stored_docs(t, 30), F.desc("score"), "id")
+    order = hits.where("rank % 3 = 0").select("id", (-F.col("rank")).alias("place"))
+    return R.reranked(hits.drop("rank"), order, "id").select("id", "rank")
+
+
 @query(r"""
 SELECT doc_id, len(list_filter(['the', 'of', 'and'], lambda q: NOT list_contains(w, q))) = 0 AS exact
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)""")
@@ -76,6 +134,17 @@ e AS (
 SELECT kind, locator, exact, round(score, 9) AS score, row_number() OVER (ORDER BY exact DESC, score DESC, CASE kind WHEN 'wiki' THEN 0 ELSE 1 END, locator) - 1 AS rank FROM e"""
 
 
+@query(_FUSED)
+def rrf_stored(t: Tables) -> DataFrame:
+    """As rrf_fusion, from stored indexes; only the hits' texts are read for the exact flag."""
+    exact = R.exact_match(ASK, F.col("text")).alias("exact")
+    top = R.ranked(_stored_docs(t, 30), F.desc("score"), "id")
+    hits = t.documents.select("doc_id", "text").join(F.broadcast(top), F.col("doc_id") == F.col("id"))  # thirty rows
+    source = hits.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("locator"), "rank", exact)
+    wiki = R.ranked(_stored_turns(t, 30), F.desc("score"), "id").select(F.concat(F.lit("turn:"), F.col("id").cast("string")).alias("locator"), "rank")
+    return R.fuse(source, wiki).withColumn("score", F.round("score", 9))
+
+
 @query(_FUSED)
 def rrf_fusion(t: Tables) -> DataFrame:
     hits = R.ranked(_docs(t, 30), F.desc("score"), "doc_id").join(t.documents.select("doc_id", R.exact_match(ASK, F.col("text")).alias("exact")), "doc_id")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc, page_file_name
+from .tables import remove
 
 # Limits of a scan and of retries when a pointer is replaced.
 LARGEST, PROBE = 16 << 20, 8192
@@ -81,7 +82,7 @@ class Generations:
         return f"{self.root}/journal.json"
 
     def current(self) -> str | None:
-        return (_read_json(self._pointer) or {}).get("build_id")
+        return (_read_json(self.spark, self._pointer) or {}).get("build_id")
 
     def write(self, pages: DataFrame, build_id: str) -> None:
         """Pages (page_id, title, content, body_hash). Names that collide are refused before anything is written."""
@@ -101,47 +102,63 @@ class Generations:
 
     def publish(self, pages: DataFrame, build_id: str) -> None:
         before = self.current()
-        _write_json(self._journal, {"build_id": build_id, "before": before})
+        _write_json(self.spark, self._journal, {"build_id": build_id, "before": before})
         self.write(pages, build_id)
         if not self.invalid(build_id).isEmpty():
             raise ValueError("a page is not what its hash says")
-        _write_json(self._pointer, {"build_id": build_id})
-        os.remove(self._journal)
+        _write_json(self.spark, self._pointer, {"build_id": build_id})
+        remove(self.spark, self._journal)
 
     def recover(self) -> str:
         """After a publication broke off: 'clean', 'forward' if the pointer had moved, else 'back'."""
-        journal = _read_json(self._journal)
+        journal = _read_json(self.spark, self._journal)
         if journal is None:
             return "clean"
         if self.current() == journal["build_id"]:
             outcome = "forward"
         else:
-            from .tables import remove
-
             remove(self.spark, self.path(journal["build_id"]))
             outcome = "back"
-        os.remove(self._journal)
+        remove(self.spark, self._journal)
         return outcome
 
 
-def _read_json(path: str) -> dict | None:
-    try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that holds it, whichever that is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read_json(spark: SparkSession, path: str) -> dict | None:
+    at, system = _at(spark, path)
+    if not system.exists(at):
         return None
+    stream = system.open(at)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
-def _write_json(path: str, value: dict) -> None:
+def _write_json(spark: SparkSession, path: str, value: dict) -> None:
     """Written beside and renamed over, so readers see the old or the new one."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(path), delete=False, encoding="utf-8") as f:
-        json.dump(value, f)
+    jvm = spark.sparkContext._jvm
+    beside, system = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = system.create(beside)
+    try:
+        stream.write(bytearray(json.dumps(value).encode()))
+    finally:
+        stream.close()
+    at, _ = _at(spark, path)
+    modes = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = next(m for m in modes if m.name() == "OVERWRITE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     for attempt in range(RETRIES):
         try:
-            os.replace(f.name, path)
+            context.rename(system.makeQualified(beside), system.makeQualified(at), over)
             return
-        except PermissionError:
+        except Py4JJavaError:
             if attempt == RETRIES - 1:
                 raise
             time.sleep(WAIT)

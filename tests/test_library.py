@@ -176,10 +176,10 @@ def test_generations(spark, tmp_path):
         store.read()
     store.publish(pages, "b1")
     assert store.current() == "b1" and store.read().count() == 1 and store.recover() == "clean"
-    files._write_json(store._journal, {"build_id": "b2", "before": "b1"})
+    files._write_json(spark, store._journal, {"build_id": "b2", "before": "b1"})
     store.write(pages, "b2")
     assert store.recover() == "back" and store.current() == "b1"
-    files._write_json(store._journal, {"build_id": "b1", "before": None})
+    files._write_json(spark, store._journal, {"build_id": "b1", "before": None})
     assert store.recover() == "forward"
     with pytest.raises(ValueError):
         store.publish(pages.withColumn("body_hash", F.lit("x")), "b3")
