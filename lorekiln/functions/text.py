@@ -312,12 +312,14 @@ def locate_evidence(quote: pd.Series, cited: pd.Series, others: pd.Series) -> pd
 
 _WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _HAN = regex.compile(f"([{HAN}]+)")
+_FOLDS = str.maketrans(ACCENTED, FOLDED)
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, fold: bool = False) -> list[str]:
     """``tokens`` of one text, in Python."""
     out: list[str] = []
-    for word in _WORDS.findall(unicodedata.normalize("NFKC", text).lower()):
+    clean = unicodedata.normalize("NFKC", text).lower()
+    for word in _WORDS.findall(clean.translate(_FOLDS) if fold else clean):
         for piece in filter(None, _HAN.split(word)):
             if _HAN.match(piece):
                 for i, c in enumerate(piece):

@@ -6,14 +6,15 @@ reads the postings of its terms only; what follows is a sum for each id and a to
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, tokens
+from ..functions.text import query_terms, tokens, words_of
 from ..functions.vectors import cosine, norm
 
 # Fixed values of the ranking functions.
@@ -81,7 +82,7 @@ _POSTING = "term", "id", "tf", "dl"
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 def store_index(rows: DataFrame, id_col: str, words: Column, path: str) -> None:
@@ -98,25 +99,29 @@ def _write_index(posting: DataFrame, lengths: DataFrame, path: str) -> None:
     part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
     dealt.repartition("bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths.select("id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean")).write.mode("overwrite").parquet(f"{path}/statistics")
+    kind = F.lit(dict(posting.dtypes)["id"])
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean"), F.first(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
-def _stored_postings(spark: SparkSession, path: str) -> DataFrame:
+def _statistics(spark: SparkSession, path: str) -> Row:
+    """n, mean, kind (the type of id) of a stored index: one row."""
+    return spark.read.schema("n long, mean double, kind string").parquet(f"{path}/statistics").first()
+
+
+def _stored_postings(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The schema is given, for an index without words has no files."""
-    kind = dict(spark.read.parquet(f"{path}/lengths").dtypes)["id"]
     return spark.read.schema(f"term string, id {kind}, tf long, dl long, bucket int").parquet(f"{path}/postings")
 
 
 def search_stored(spark: SparkSession, path: str, query: str, k: int) -> DataFrame:
     """As ``bm25``, from a stored index: the buckets of the query's terms are read, one aggregation follows."""
-    asked = spark.range(1).select(query_terms(F.lit(query), fold=True).alias("t")).select("t", F.transform("t", _bucket).alias("b")).first()
-    terms, buckets = asked["t"] or [""], asked["b"] or [-1]
-    hits = _stored_postings(spark, path).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    terms = list(dict.fromkeys(words_of(query, fold=True))) or [""]
+    known = _statistics(spark, path)
+    hits = _stored_postings(spark, path, known["kind"] or "string").where(F.col("bucket").isin([zlib.crc32(t.encode()) % BUCKETS for t in terms]) & F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
-    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(spark.read.parquet(f"{path}/statistics")))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    idf = F.greatest(F.log((F.lit(float(known["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(known["mean"] or 1.0)))
+    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataFrame, id_col: str, words: Column, to: str) -> None:
@@ -126,7 +131,7 @@ def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataF
     """
     fresh, fresh_lengths = postings(changed, id_col, words)
     touched = gone.select("id").union(changed.select(id_col)).distinct()
-    posting = _stored_postings(spark, path).join(touched, "id", "left_anti").select(*_POSTING).unionByName(fresh.join(fresh_lengths, "id").select(*_POSTING))
+    posting = _stored_postings(spark, path, _statistics(spark, path)["kind"] or "string").join(touched, "id", "left_anti").select(*_POSTING).unionByName(fresh.join(fresh_lengths, "id").select(*_POSTING))
     lengths = spark.read.parquet(f"{path}/lengths").join(touched, "id", "left_anti").select("id", "dl")
     _write_index(posting, lengths.unionByName(fresh_lengths), to)
 

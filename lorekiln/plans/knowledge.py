@@ -192,20 +192,24 @@ def ghost_sweep(t: Tables) -> DataFrame:
     return I.ghosts(nodes, claims, relations)
 
 
-def _plans(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Old pages: the parts that a customer has ordered. New ones: two customers' together in one segment, by status in another."""
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate").join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    old = lines.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("page_id")).agg(F.collect_set("l_partkey").alias("refs"))
+def _plans(t: Tables, ref: str) -> tuple[DataFrame, DataFrame]:
+    """Old pages: what a customer has ordered. New ones: two customers' together in one segment, by status in another.
+
+    With orders as refs each ref is on one page of a plan, as valid plans have it; with parts, pages share them.
+    """
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").join(t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = orders if ref == "o_orderkey" else orders.join(t.lineitem.select("l_orderkey", ref), F.col("l_orderkey") == F.col("o_orderkey"))
+    old = lines.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("page_id")).agg(F.collect_set(ref).alias("refs"))
     key = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("n"), F.col("o_custkey").cast("string"), "o_orderstatus")).when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("m"), F.floor(F.col("o_custkey") / 2).cast("string"))).otherwise(F.concat(F.lit("k"), F.col("o_custkey").cast("string")))
-    kept = (F.col("c_mktsegment") != "FURNITURE") | (F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp"))
-    new = lines.where(kept).groupBy(key.alias("page_id")).agg(F.collect_set("l_partkey").alias("refs"))
+    kept = (F.col("c_mktsegment") != "FURNITURE") | (F.col("o_orderdate") < F.lit("1995-06-17").cast("timestamp"))
+    new = lines.where(kept).groupBy(key.alias("page_id")).agg(F.collect_set(ref).alias("refs"))
     dressed = [df.withColumn("slug", F.col("page_id")).withColumn("title", F.lit("page")).withColumn("category", F.lit("concept")) for df in (old, new)]
     return dressed[0], dressed[1]
 
 
 _DIFF = """
-lines AS (SELECT l_partkey AS ref, 'c' || o_custkey AS o, CASE c_mktsegment WHEN 'BUILDING' THEN 'n' || o_custkey || o_orderstatus WHEN 'MACHINERY' THEN 'm' || (o_custkey // 2) ELSE 'k' || o_custkey END AS n,
-  c_mktsegment <> 'FURNITURE' OR l_shipdate < TIMESTAMP '1995-06-17' AS kept FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+lines AS (SELECT REF AS ref, 'c' || o_custkey AS o, CASE c_mktsegment WHEN 'BUILDING' THEN 'n' || o_custkey || o_orderstatus WHEN 'MACHINERY' THEN 'm' || (o_custkey // 2) ELSE 'k' || o_custkey END AS n,
+  c_mktsegment <> 'FURNITURE' OR o_orderdate < TIMESTAMP '1995-06-17' AS kept FROM orders LINES JOIN customer ON o_custkey = c_custkey),
 o AS (SELECT DISTINCT o, ref FROM lines), n AS (SELECT DISTINCT n, ref FROM lines WHERE kept),
 so AS (SELECT o, count(*) AS so FROM o GROUP BY o), sn AS (SELECT n, count(*) AS sn FROM n GROUP BY n),
 overlap AS (SELECT o, n, count(*) AS shared FROM o JOIN n ON o.ref = n.ref GROUP BY o, n),
@@ -222,13 +226,18 @@ classes AS (SELECT n, CASE WHEN split THEN 'split' WHEN flowing >= 2 AND dominan
 """
 
 
-@query(f"WITH {_DIFF} SELECT n AS page_id, class, CASE class WHEN 'merged' THEN dominant WHEN 'unchanged' THEN mutual WHEN 'modified' THEN mutual END AS kept_id FROM classes")
+_DISJOINT = _DIFF.replace("REF", "o_orderkey").replace("LINES", "")
+_SHARED = _DIFF.replace("REF", "l_partkey").replace("LINES", "JOIN lineitem ON l_orderkey = o_orderkey")
+
+
+@query(f"WITH {_DISJOINT} SELECT n AS page_id, class, CASE class WHEN 'merged' THEN dominant WHEN 'unchanged' THEN mutual WHEN 'modified' THEN mutual END AS kept_id FROM classes")
 def plan_diff_classes(t: Tables) -> DataFrame:
-    return V.plan_diff(*_plans(t))[0]
+    """Refs are orders: each stands on one page of either plan."""
+    return V.plan_diff(*_plans(t, "o_orderkey"))[0]
 
 
 @query(f"""
-WITH {_DIFF}, fate AS (
+WITH {_SHARED}, fate AS (
   SELECT so.o, coalesce((SELECT bool_or(is_split) FROM pairs p WHERE p.o = so.o), false) AS split,
     (SELECT max(f.n) FROM flow f JOIN classes c ON c.n = f.n WHERE f.o = so.o AND class = 'merged') AS merged_into,
     (SELECT max(c.n) FROM classes c WHERE class IN ('unchanged', 'modified') AND mutual = so.o) AS kept_as FROM so)
@@ -236,7 +245,8 @@ SELECT o AS predecessor, CASE WHEN merged_into IS NOT NULL THEN (SELECT dominant
   CASE WHEN merged_into IS NOT NULL THEN 'merge' WHEN kept_as IS NOT NULL THEN 'keep' ELSE 'retire' END AS kind FROM fate WHERE NOT split
 UNION ALL SELECT f.o, p.n, 'split' FROM fate f JOIN pairs p ON p.o = f.o WHERE split AND is_best""")
 def page_id_map(t: Tables) -> DataFrame:
-    return V.page_id_map(*_plans(t))
+    """Refs are parts, which many pages share."""
+    return V.page_id_map(*_plans(t, "l_partkey"))
 
 
 @query("""

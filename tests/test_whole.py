@@ -270,8 +270,8 @@ def test_progress_passes_against_the_last_write(spark):
 
 def test_words_are_the_same_in_python_and_columns(spark, sf):
     texts = [x for (x,) in table(sf, "documents", "text") if x][:60] + ["Ab 全文検 x１", "ＦＵＬＬ ＷＩＤＴＨ", "e\u0301té", "ひらがなと漢字mixed4", ""]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", text.tokens("x").alias("w")).collect()
-    assert {r["i"]: r["w"] for r in rows} == {i: text.words_of(x) for i, x in enumerate(texts)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", text.tokens("x").alias("w"), text.tokens("x", fold=True).alias("f")).collect()
+    assert {r["i"]: (r["w"], r["f"]) for r in rows} == {i: (text.words_of(x), text.words_of(x, fold=True)) for i, x in enumerate(texts)}
 
 
 def test_chinese_search_in_the_engine(spark, tmp_path):
