@@ -252,3 +252,15 @@ def reranked(hits: DataFrame, order: DataFrame, key: str, keep_unknown: bool = T
 def side_status(disabled: Column, published: Column, built: Column, hits: Column) -> Column:
     """Why a side of a fused search answers as it does; the first reason that holds."""
     return F.when(disabled, "disabled").when(~published, "not_published").when(~built, "index_not_built").when(hits == 0, "no_matches").otherwise("served")
+
+
+def fuse_levels(lexical: DataFrame, vector: DataFrame, source: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Candidates of a context from both sides (kind, locator, exact, score, rank), fused twice.
+
+    First wiki hits (locator, rank) of the lexical and the vector list, by the sum of reciprocal ranks, and in a reranker's order
+    (locator, place) if there is one; source hits (locator, rank, exact) go exact ones first. Then both lists by their places.
+    """
+    summed = fuse_sum(lexical, vector, ["locator"])
+    wiki = ranked(summed, F.desc("score"), "locator") if order is None else reranked(summed, order, "locator")
+    places = ranked(source.select("locator", "exact", F.col("rank").alias("side")), F.desc("exact"), "side", "locator")
+    return fuse(places.select("locator", "rank", "exact"), wiki.select("locator", "rank"))

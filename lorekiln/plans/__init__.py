@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest, knowledge, records, report, search, state, structure
+from . import ingest, knowledge, lifecycle, records, report, search, state, structure
 
-_MODULES = (ingest, search, knowledge, report, records, state, structure)
+_MODULES = (ingest, search, knowledge, lifecycle, report, records, state, structure)
 
 
 def queries() -> dict:
