@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import context as C
-from .operators import ingest, lint, retrieval, versions
+from .operators import ingest, lifecycle, lint, retrieval, versions
 from .operators.state import clamped
 from .sources import files, markdown, providers
 from .sources.tables import remove
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, root: str, workspace: str = "kb", text: providers.TextProvider | None = None, embedding: providers.EmbeddingProvider | None = None):
+    def __init__(self, spark: SparkSession, root: str, workspace: str = "kb", text: providers.TextProvider | None = None, embedding: providers.EmbeddingProvider | None = None, rerank: providers.RerankProvider | None = None):
         self.spark, self.root, self.workspace = spark, root.rstrip("/"), workspace
-        self.text, self.embedding = text, embedding
+        self.text, self.embedding, self.rerank = text, embedding, rerank
         self.store = files.Generations(spark, root)
 
     def _table(self, name: str, build_id: str | None = None) -> DataFrame:
@@ -49,10 +49,10 @@ class KnowledgeBase:
         out(markdown.read_sections(raw), "sections")
         sections = self._table("sections", build_id)
         out(markdown.read_chunks(sections, section_tokens), "chunks")
-        title = F.coalesce(F.min_by("heading", F.when(F.col("level") == 1, F.col("ord"))), F.regexp_extract(F.first("path"), r"([^/]+)\.mdx?$", 1))
+        title = F.coalesce(F.min_by("heading", F.when(F.col("level") == 1, F.col("ord"))), F.regexp_extract(F.first("path"), r"([^/]+)\.(?:mdx?|markdown)$", 1))
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda s: s["content"]), "\n\n")
         pages = sections.groupBy("path").agg(title.alias("title"), body.alias("content"), F.first("language").alias("language"))
-        pages = pages.select(F.concat(F.lit("wp_"), F.sha2("path", 256)).alias("page_id"), T.slug(F.regexp_replace("path", r"\.mdx?$", "")).alias("slug"), "title", "content", F.sha2("content", 256).alias("body_hash"), "path", F.coalesce("language", T.language("content", path=F.col("path"))).alias("language"))
+        pages = pages.select(F.concat(F.lit("wp_"), F.sha2("path", 256)).alias("page_id"), T.slug(F.regexp_replace("path", r"\.(mdx?|markdown)$", "")).alias("slug"), "title", "content", F.sha2("content", 256).alias("body_hash"), "path", F.coalesce("language", T.language("content", path=F.col("path"))).alias("language"))
         retrieval.store_index(self._indexed(sections), "section_id", F.col("words"), self._index(build_id))
         self.store.publish(pages, build_id)
         return "published"
@@ -95,13 +95,25 @@ class KnowledgeBase:
     def context(self, query: str, chunks: int = C.CHUNKS, tokens: int = C.TOKENS) -> DataFrame:
         """pos, path, heading_path, body of a budgeted bundle, in order."""
         lexical = self.search(query, min(50, 3 * chunks)).select("path", F.array_join("heading_path", "\x1f").alias("heading"), "rank")
-        vector = self._nearest(query) if self.embedding else lexical.limit(0)
+        covered = self.embedding and lifecycle.covered(self._hashed(), self.embeddings(), self.embedding.model)
+        vector = self._nearest(query) if covered else lexical.limit(0)  # without stored vectors the query is not embedded either
         fused = retrieval.ranked(retrieval.fuse_sum(lexical, vector, ["path", "heading"]), F.desc("score"), "path", "heading")
         sections = self._table("sections").groupBy("path", F.array_join("heading_path", "\x1f").alias("heading")).agg(F.min_by("content", "ord").alias("body"))
-        candidates = fused.join(sections, ["path", "heading"]).select(F.col("rank").cast("long").alias("pos"), F.col("path").alias("page_id"), F.col("path").alias("source"), T.estimate_tokens("body").alias("tokens"), "heading", "body")
+        found = fused.join(sections, ["path", "heading"])
+        if self.rerank:
+            found = self._reranked(query, found)
+        candidates = found.select(F.col("rank").cast("long").alias("pos"), F.col("path").alias("page_id"), F.col("path").alias("source"), T.estimate_tokens("body").alias("tokens"), "heading", "body")
         taken = C.select_context(candidates, chunks=chunks, tokens=tokens).where("taken")
         return taken.select("pos", F.col("page_id").alias("path"), F.split("heading", "\x1f").alias("heading_path"), "body").orderBy("pos")
 
+    def _reranked(self, query: str, found: DataFrame) -> DataFrame:
+        """Candidates, as many as two top-k lists have, in the reranker's order; those that it leaves out follow in theirs."""
+        rows = found.orderBy("rank").select("path", "heading", "body").collect()
+        places = self.rerank.rerank(query, [r["body"] for r in rows]) if rows else []
+        order = self.spark.createDataFrame([(rows[i]["path"], rows[i]["heading"], n) for n, i in enumerate(places)], "path string, heading string, place int")
+        joined = found.drop("rank").join(F.broadcast(order), ["path", "heading"], "left")
+        return retrieval.ranked(joined, F.col("place").asc_nulls_last(), F.desc("score"), "path", "heading").drop("place")
+
     def _hashed(self) -> DataFrame:
         sections = self._table("sections")
         text = T.section_text(F.col("path"), F.col("heading_path"), F.col("content"))

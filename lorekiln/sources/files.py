@@ -33,7 +33,7 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def scan(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*.md", "**/*.mdx"), exclude: tuple[str, ...] = (), hidden: tuple[str, ...] = ()) -> DataFrame:
+def scan(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*.md", "**/*.markdown", "**/*.mdx"), exclude: tuple[str, ...] = (), hidden: tuple[str, ...] = ()) -> DataFrame:
     """rel_path, content, size, problem (too-large, binary or null), sorted by path. Excludes win over includes; ``hidden`` folders are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")

@@ -29,3 +29,25 @@ def test_knowledge_base(spark, tmp_path):
     assert {r["rel_path"]: r["status"] for r in kb.scan(str(source)).collect()} == {"b.mdx": "modified", "guide/a.md": "unchanged"}
     assert kb.build(str(source), "b3") == "published"
     assert sorted(r["outcome"] for r in kb.diff("b1").collect()) == ["carried", "changed"]
+
+
+def test_context_is_reranked_and_spares_uncovered_queries(spark, tmp_path):
+    source = tmp_path / "docs"
+    source.mkdir()
+    for name, text in (("a", "ports ports ports"), ("b", "ports and more"), ("c", "a port, ports")):
+        (source / f"{name}.md").write_text(f"# {name}\n\n{text}\n")
+
+    class Last:
+        def rerank(self, query, documents):
+            return [len(documents) - 1]
+
+    class Never(FakeEmbedding):
+        def embed(self, texts):
+            raise AssertionError("no section has a vector")
+
+    kb = KnowledgeBase(spark, str(tmp_path / "state"))
+    kb.build(str(source), "b1")
+    plain = [r["path"] for r in kb.context("ports").collect()]
+    kb.rerank, kb.embedding = Last(), Never()
+    assert len(plain) == 3 and [r["path"] for r in kb.context("ports").collect()] == [plain[2], *plain[:2]]
+    assert kb.context("absent").collect() == []
