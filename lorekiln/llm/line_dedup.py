@@ -33,7 +33,7 @@ def _lines():
         lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
         return np.array([xxhash.xxh3_64_intdigest(x) & ~1 if x.strip() else xxhash.xxh3_64_intdigest(x) | 1 for x in lines], np.uint64)
 
-    return of
+    return lambda texts: map(of, texts)
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

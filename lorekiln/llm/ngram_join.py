@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from .sequences import bucket_count, in_batches, windows_of
-from .shared import WordHashes, discard, fresh, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_bytes, text_of, written
+from .shared import discard, fresh, lookup, mixed, numbered, odd_numbers, release_shuffles, rolling, text_bytes, text_of, word_hashes, written
 
 SHINGLE = 3
 THRESHOLD = 90
@@ -63,8 +63,7 @@ CENTRES = 64
 
 
 def _words():
-    hashes = WordHashes()
-    return lambda text: hashes.of((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    return lambda texts: word_hashes(texts, lower=True)
 
 
 def shingle_sets(units: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -403,7 +402,7 @@ def _verified(blocks: DataFrame, rows: DataFrame, width: int, threshold: int) ->
     def lot(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["block", "uid"], ignore_index=True)
         words = _words()
-        key, doc = shingle_sets([words(x) for x in group["text"]], width)
+        key, doc = shingle_sets(list(words(group["text"])), width)
         sizes = np.bincount(doc, minlength=len(group))
         ends = np.cumsum(sizes)
         block, uid = group["block"].to_numpy(), group["uid"].to_numpy()
@@ -428,12 +427,12 @@ def _large(members: DataFrame, rows: DataFrame, width: int, threshold: int) -> D
 
     def chunk(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         words = _words()
-        key, doc = shingle_sets([words(x) for x in own["text"]], width)
+        key, doc = shingle_sets(list(words(own["text"])), width)
         sizes = np.bincount(doc, minlength=len(own))
         order = np.argsort(key, kind="stable")
         a, b = [], []
         for uid, text in zip(centres["uid"], centres["text"], strict=True):
-            wanted, _ = shingle_sets([words(text)], width)
+            wanted, _ = shingle_sets(list(words([text])), width)
             low, high = np.searchsorted(key[order], wanted, "left"), np.searchsorted(key[order], wanted, "right")
             hits = np.concatenate([order[x:y] for x, y in zip(low, high, strict=True)]) if len(wanted) else np.empty(0, np.int64)
             shared = np.bincount(doc[hits], minlength=len(own))

@@ -29,13 +29,12 @@ def bucket_count(n_bytes: int, of_bytes: int = 8 << 20) -> int:
     return max(8, -(-n_bytes // of_bytes))
 
 
-def in_batches(batches: Iterable[pd.DataFrame], units_of: Callable[[str], np.ndarray], extra: str | None = None, most: int = BATCH_UNITS) -> Iterator[tuple[np.ndarray, list[np.ndarray], list]]:
-    """uids, units of each document and what column ``extra`` holds, as soon as there are ``most`` units."""
+def in_batches(batches: Iterable[pd.DataFrame], units_of: Callable[[Iterable[str]], Iterable[np.ndarray]], extra: str | None = None, most: int = BATCH_UNITS) -> Iterator[tuple[np.ndarray, list[np.ndarray], list]]:
+    """uids, units of each document and what column ``extra`` holds, as soon as there are ``most`` units; ``units_of`` gives those of each of many texts."""
     uids, units, more, total = [], [], [], 0
     for rows in batches:
         beside = rows[extra] if extra else [None] * len(rows)
-        for uid, text, x in zip(rows["uid"], rows["text"], beside, strict=True):
-            found = units_of(text)
+        for uid, found, x in zip(rows["uid"], units_of(rows["text"]), beside, strict=True):
             uids.append(uid)
             units.append(found)
             more.append(x)
@@ -197,7 +196,7 @@ def resolved(packed: DataFrame, wide: bool) -> DataFrame:
     return answers.groupBy("batch").applyInPandas(spread, FOUND)
 
 
-def later_windows(rows: DataFrame, units_of: Callable[[], Callable[[str], np.ndarray]], width: int, buckets: int, hot: str | None = None, anchor: int = 0, skip: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def later_windows(rows: DataFrame, units_of: Callable[[], Callable[[Iterable[str]], Iterable[np.ndarray]]], width: int, buckets: int, hot: str | None = None, anchor: int = 0, skip: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """FOUND: starts of windows of ``width`` units whose sequence also starts earlier.
 
     With ``hot``, a column of packed anchor places, only windows that hold a whole anchor of

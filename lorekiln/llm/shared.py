@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -61,23 +63,6 @@ def lookup(left: DataFrame, right: DataFrame, key: str, columns: list[str], hot:
     return far.select(*[F.col(c) for c in left.columns], *[F.coalesce(F.col(f"__hot_{c}"), F.col(f"__cold_{c}")).alias(c) for c in columns])
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bounded number of distinct words."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of a text in order; ``bytes.split`` parts at the same six characters as WORD."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     """n fixed odd 64-bit multipliers made from a seed."""
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,6 +75,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes of text whose words are hashed together; bounds a Python worker's memory beside its longest text.
+HASHED_BYTES = 4 << 20
+#: Bytes of words that are hashed together; longer ones are hashed one by one.
+LONG_WORD = 64
+
+
+def _hashes_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of ``raw``, which begins with white space and ends with 9 bytes of it or more, a multiple of 8 in all.
+
+    Words are taken eight bytes at a time, as two halves of aligned ones; their length goes in first.
+    """
+    data, aligned = np.frombuffer(raw, np.uint8), np.frombuffer(raw, "<u8")
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    out = mixed(length.astype(np.uint64) * odd_numbers(1, 40)[0])
+    left = np.flatnonzero(length <= LONG_WORD)
+    at, more = starts[left], length[left]
+    while len(left):
+        shift = (at & 7).astype(np.uint64) * np.uint64(8)
+        eight = (aligned[at >> 3] >> shift) | (aligned[(at >> 3) + 1] << np.uint64(1) << (np.uint64(63) - shift))
+        eight &= np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(more, 8)).astype(np.uint64))
+        out[left] = mixed(out[left] ^ eight)
+        on = more > 8
+        left, at, more = left[on], at[on] + 8, more[on] - 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + length[i]])
+    return out, starts
+
+
+def word_hashes(texts: Iterable[str | None], lower: bool = False) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of each text in order (null: none); ``lower`` takes A-Z as a-z.
+
+    Texts are hashed some HASHED_BYTES at a time, in vector operations.
+    """
+
+    def lot(held: list[bytes]) -> Iterator[np.ndarray]:
+        raw = b" " + b" ".join(held)
+        raw += b" " * (16 - len(raw) % 8)
+        hashes, starts = _hashes_of(raw.lower() if lower else raw)
+        edges = np.searchsorted(starts, np.cumsum([1, *[len(x) + 1 for x in held]])).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield hashes[a:b]
+
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= HASHED_BYTES:
+            yield from lot(held)
+            held, size = [], 0
+    yield from lot(held)
+
+
 def rolling(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     """A hash for each run of ``width`` consecutive entries; shorter input gives none.
 

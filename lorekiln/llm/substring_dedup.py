@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import COLUMNS, PACKED, bucket_count, covered, in_batches, later_windows, pack, places_of, resolved, windows_of
-from .shared import WordHashes, numbered, release_shuffles, text_bytes, written
+from .shared import numbered, release_shuffles, text_bytes, word_hashes, written
 
 WINDOW = 20
 
 
 def _words():
-    return WordHashes().of
+    return word_hashes
 
 
 def anchors(rows: DataFrame, block: int, buckets: int) -> DataFrame:
@@ -67,9 +67,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             out = []
             for text, packed in zip(group["text"], group["starts"], strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
+                if packed is None:
+                    out.append((len(words), 0, [], b" ".join(words).decode("utf-8", "surrogatepass")))
+                    continue
                 gone = covered(places_of(packed), window, len(words))
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                kept = b" ".join(words) if not len(edges) else b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
+                kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
                 out.append((len(words), int(gone.sum()), edges.reshape(-1, 2).tolist(), kept.decode("utf-8", "surrogatepass")))
             made = pd.DataFrame(out, columns=["n_words", "n_removed", "spans", "kept"])
             made.insert(0, "doc_id", group["doc_id"].array)
