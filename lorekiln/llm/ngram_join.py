@@ -76,9 +76,10 @@ def shingle_sets(units: list[np.ndarray], width: int) -> tuple[np.ndarray, np.nd
         order = np.argsort(doc, kind="stable")
         key, doc = key[order], doc[order]
     edges = np.searchsorted(doc, np.arange(len(units) + 1))
-    sets = [np.unique(key[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    sizes = [len(x) for x in sets]
-    return (np.concatenate(sets) if sets else key), np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        key[a:b].sort()
+    first = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)]
+    return key[first], doc[first]
 
 
 @lru_cache
@@ -173,17 +174,18 @@ def packed(digest: np.ndarray, doc: np.ndarray, uids: np.ndarray, n: int) -> tup
     A digest that one document has travels with it; documents are given once for all of their digests of a
     bucket. One that several have travels once, with their number.
     """
-    order = np.argsort(digest, kind="stable")
-    starts = np.flatnonzero(np.r_[True, digest[order][1:] != digest[order][:-1]]) if len(digest) else np.empty(0, np.int64)
+    order = np.argsort(digest)
+    ranked = digest[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(digest) else np.empty(0, np.int64)
     held = np.diff(np.r_[starts, len(digest)])
     repeated = np.zeros(len(digest), bool)
     repeated[order[np.repeat(held > 1, held)]] = True
     lone, many = np.flatnonzero(~repeated), order[starts[held > 1]]
-    place = lambda at: ((digest[at] >> np.uint64(1)) % np.uint64(n)).astype(np.int64)
-    lone, times = lone[np.lexsort((doc[lone], place(lone)))], held[held > 1]
-    turn = np.argsort(place(many), kind="stable")
+    place = ((digest >> np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    lone, times = lone[np.argsort(place[lone] * len(uids) + doc[lone])], held[held > 1]
+    turn = np.argsort(place[many])
     many, times = many[turn], times[turn]
-    low, low_many = (np.searchsorted(place(at), np.arange(n + 1)) for at in (lone, many))
+    low, low_many = (np.searchsorted(place[at], np.arange(n + 1)) for at in (lone, many))
     rows = []
     for b in np.flatnonzero((np.diff(low) > 0) | (np.diff(low_many) > 0)).tolist():
         own, others = lone[low[b] : low[b + 1]], slice(low_many[b], low_many[b + 1])
@@ -241,8 +243,9 @@ def counted(rows: pd.DataFrame) -> pd.DataFrame:
     uid = np.concatenate([np.repeat(d, c) for d, c in zip(read("docs", "<i8"), read("counts", "<u4"), strict=True)])
     key, repeats = np.concatenate(read("keys", "<u8")), np.concatenate(read("repeats", "<u8"))
     both = np.concatenate([key, repeats])
-    order = np.argsort(both, kind="stable")
-    starts = np.flatnonzero(np.r_[True, both[order][1:] != both[order][:-1]])
+    order = np.argsort(both)
+    ranked = both[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     held = np.concatenate([np.ones(len(key), np.int64), np.concatenate(read("times", "<u4")).astype(np.int64)])
     total, n = np.add.reduceat(held[order], starts), np.diff(np.r_[starts, len(both)])
     total = np.repeat(total, n)
@@ -261,7 +264,8 @@ def buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
     sets = found.where("uid IS NOT NULL")
     shared = written(found.where("bucket IS NOT NULL").select(*[x.split()[0] for x in PACKED.split(", ")]).groupBy("bucket").applyInPandas(counted, "key long, times long, uid long"), "ngram-shared")
     release_shuffles(found.sparkSession)
-    within = sets.select("uid", F.explode("repeated").alias("key")).join(shared.groupBy("key").agg(F.max("times").alias("times")), "key")
+    of_batches = shared.where("uid IS NULL").groupBy("key").agg(F.max("times").alias("times"))
+    within = sets.select("uid", F.explode("repeated").alias("key")).join(of_batches, "key")
     pairs = shared.where("uid IS NOT NULL").unionByName(within)
     ranked = pairs.groupBy("uid", F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("side")).agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
     ranked = ranked.join(sets.where("size(sketch) > 0").select("uid", "slack"), "uid").withColumn("most", F.size("keys") - F.get("slack", F.col("side")))

@@ -44,3 +44,21 @@ def test_words_take_no_call_each(monkeypatch, module):
     rows = pd.DataFrame({"uid": range(50), "text": [" ".join(f"w{i}x{k}" for k in range(100)) + " " + "y" * 100 for i in range(50)]})
     (_, units, _), = sequences.in_batches([rows], module._words())
     assert len(np.unique(np.concatenate(units))) == 5001 and len(calls) <= 50
+
+
+def test_sets_of_a_batch_take_no_deduplication_each(monkeypatch):
+    calls = []
+    unique = np.unique
+    monkeypatch.setattr(ngram_join.np, "unique", lambda *a, **k: calls.append(a) or unique(*a, **k))
+    rng = random.Random(7)
+    units = [np.array([rng.randrange(4) for _ in range(rng.choice([0, 1, 2, 3, 4, 50]))], np.uint64) for _ in range(300)]
+    key, doc = ngram_join.shingle_sets(units, 3)
+    assert (np.diff(doc) >= 0).all() and len(calls) < 10
+    of = {}
+    for i, x in enumerate(units):
+        words = x.tolist()
+        want = {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+        own = key[doc == i].tolist()
+        assert len(own) == len(set(own)) == len(want) and own == sorted(own)
+        assert of.setdefault(frozenset(want), own) == own
+    assert len(of) == len({tuple(x) for x in of.values()})
