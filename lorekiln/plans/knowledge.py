@@ -270,7 +270,8 @@ def incremental_outcomes(t: Tables) -> DataFrame:
     # small parts are what a source (-1), which no page cites, supported before
     nowhere = F.lit(None).cast("string").alias("section_id")
     before = small.select(F.lit(-1).cast("long").alias("source_id"), nowhere, "node")
-    after = gaining.select("source_id", nowhere, (F.col("source_id") + 1_000_000).alias("node"))
+    # a gained node is no part, however many parts there are
+    after = gaining.select("source_id", nowhere, (-F.col("source_id") - 1).alias("node"))
     after = after.unionByName(t.part.where("p_size > 6").agg(F.max("p_partkey").alias("node")).select(F.lit(-1).cast("long").alias("source_id"), nowhere, "node"))
     modified = gaining.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("source_id")))
     dirs = t.spark.createDataFrame([], "node long, dir string, version string")
