@@ -67,13 +67,23 @@ def bm25(rows: DataFrame, id_col: str, words: Column, query: str, k: int | None
 def search_postings(posting: DataFrame, lengths: DataFrame, query: str, k: int) -> DataFrame:
     """As ``bm25``, from a stored index: only the query terms' postings are read and joined with their lengths."""
     terms = posting.sparkSession.range(1).select(query_terms(F.lit(query), fold=True).alias("t")).first()["t"]
-    hits = posting.where(F.col("term").isin(terms or [""]))
+    terms = terms or [""]
+    hits = posting.where(F.col("term").isin(terms))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
     joined = hits.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _summed(joined, part, terms).orderBy(F.desc("score"), "id").limit(k)
+
+
+def _summed(hits: DataFrame, part: Column, terms: list[str]) -> DataFrame:
+    """id, score: parts are added in the order of the query's terms, as ``bm25`` adds them, so that equal rows score the same to the last bit."""
+    parts = hits.groupBy("id").agg(*[F.sum(F.when(F.col("term") == t, part)).alias(f"part{i}") for i, t in enumerate(terms)])
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        score = score + F.coalesce(f"part{i}", F.lit(0.0))
+    return parts.select("id", score.alias("score"))
 
 
 #: Buckets by a hash of the term that a stored index is dealt to, and parts of each, so that a frequent word fills no one task.
@@ -121,7 +131,7 @@ def search_stored(spark: SparkSession, path: str, query: str, k: int) -> DataFra
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
     idf = F.greatest(F.log((F.lit(float(known["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(known["mean"] or 1.0)))
-    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _summed(hits.join(F.broadcast(df), "term"), part, terms).orderBy(F.desc("score"), "id").limit(k)
 
 
 def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataFrame, id_col: str, words: Column, to: str) -> None:
