@@ -1,5 +1,6 @@
 """What only larger tables show: keys that meet, equal scores, forms whose cost is bounded."""
 
+import random
 import shutil
 from pathlib import Path
 
@@ -7,7 +8,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lorekiln.operators import retrieval
+from lorekiln.functions import substrings
+from lorekiln.operators import evaluation, retrieval
 
 
 def rows_of(frame):
@@ -48,3 +50,33 @@ def test_stored_scores_add_up_in_the_order_of_the_query(spark, tmp_path):
     direct = retrieval.bm25(docs, "doc_id", retrieval.index_tokens(F.col("text")), asked, 140).collect()
     held = retrieval.search_postings(*retrieval.postings(docs, "doc_id", retrieval.index_tokens(F.col("text"))), asked, 140).collect()
     assert [tuple(r) for r in stored] == [tuple(r) for r in held] == [tuple(r) for r in direct]  # to the last bit
+
+
+def test_coverage_writes_no_more_than_spans(spark, monkeypatch):
+    sizes = []
+
+    def counting(df, name, inner=evaluation.written):
+        table = inner(df, name)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(evaluation, "written", counting)
+    text = " ".join(f"w{i}" for i in range(3000))
+    spans = ["w1 w2 w3 w4 w5", "w7 w9", "w2999", "2 w3", "", text, text + " "]
+    facts = spark.createDataFrame(list(enumerate(spans + spans[:2])), "fact_id int, span string")
+    found = evaluation.coverage(facts, spark.createDataFrame([(text,), (None,)], "text string")).first()
+    assert (found["covered"], found["total"]) == (6, 9)
+    assert sum(sizes) <= 3 * len(spans)  # a claim's words and runs of characters are never written
+
+
+def test_substrings_are_found_whatever_the_lots(monkeypatch):
+    draw = random.Random(5)
+    for trial in range(60):
+        monkeypatch.setattr(substrings, "PAIRS", draw.choice([1, 5, 1000]))
+        monkeypatch.setattr(substrings, "LOT", draw.choice([1, 50, 10000]))
+        letters = ["ab", "abé漢 c\n"][trial % 2]
+        texts = ["".join(draw.choice(letters) for _ in range(draw.choice([0, 3, 40, 200]))) for _ in range(20)] + [None]
+        spans = {"".join(draw.choice(letters) for _ in range(draw.choice([1, 2, 4, 7, 31, 32, 33, 70]))) for _ in range(40)}
+        spans |= {t[i : i + n] for t in filter(None, texts) for i in [draw.randrange(len(t))] for n in (1, 2, 5, 17, 33, 64, 100)}
+        wanted = substrings.Wanted(*substrings.described(sorted(spans)))
+        assert set(wanted.search(iter(texts))) & spans == {x for x in spans if any(x in t for t in texts if t)}
