@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lorekiln.functions import substrings
-from lorekiln.operators import evaluation, retrieval
+from lorekiln.operators import evaluation, retrieval, versions
 
 
 def rows_of(frame):
@@ -80,3 +80,26 @@ def test_substrings_are_found_whatever_the_lots(monkeypatch):
         spans |= {t[i : i + n] for t in filter(None, texts) for i in [draw.randrange(len(t))] for n in (1, 2, 5, 17, 33, 64, 100)}
         wanted = substrings.Wanted(*substrings.described(sorted(spans)))
         assert set(wanted.search(iter(texts))) & spans == {x for x in spans if any(x in t for t in texts if t)}
+
+
+def test_best_pages_are_found_without_all_pairs(spark, monkeypatch):
+    sizes = []
+
+    def counting(df, name, inner=versions.written):
+        table = inner(df, name)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(versions, "written", counting)
+    draw = random.Random(3)
+    old = {f"o{i}": draw.sample(range(300), draw.choice([1, 2, 5, 30, 40])) for i in range(150)}
+    new = {f"n{i}": draw.sample(refs, max(1, len(refs) * draw.choice([2, 3, 4]) // 4)) + draw.sample(range(300), draw.choice([0, 1, 9])) for i, refs in enumerate(old.values())}
+    new |= {f"m{i}": draw.sample(range(250, 340), 12) for i in range(20)} | {"far": [1000, 1001]}
+    plan = lambda pages: spark.createDataFrame([(p, f"s{p[::-1]}", "t", "c", refs) for p, refs in pages.items()], "page_id string, slug string, title string, category string, refs array<long>")
+    found = {(r["o"], r["n"]): (r["shared"], r["is_best"], r["flows"]) for r in versions._matched(plan(old), plan(new)).collect()}
+    shared = {(o, n): len(set(a) & set(b)) for o, a in old.items() for n, b in new.items() if set(a) & set(b)}
+    first = lambda pairs: min(pairs, key=lambda x: (-shared[x], x[0][::-1], x[1][::-1]))
+    of_new = {first([x for x in shared if x[1] == n]) for n in new if n != "far"}
+    of_old = {first([x for x in shared if x[0] == o]) for o in old if any(x[0] == o for x in shared)}
+    assert found == {x: (shared[x], x in of_new, x in of_old) for x in of_new | of_old}
+    assert max(sizes) <= sum(map(len, old.values())) + sum(map(len, new.values())) < len(shared)
