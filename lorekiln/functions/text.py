@@ -64,7 +64,9 @@ def tokens(text: Column | str, fold: bool = False) -> Column:
 
 def folded(text: Column | str) -> Column:
     """Lower case without diacritics, as the full-text index sees words."""
-    return F.translate(F.lower(_col(text)), ACCENTED, FOLDED)
+    lower = F.lower(_col(text))
+    # texts of single bytes have no diacritics, and most are such
+    return F.when(F.octet_length(lower) == F.char_length(lower), lower).otherwise(F.translate(lower, ACCENTED, FOLDED))
 
 
 def query_terms(text: Column | str, fold: bool = False) -> Column:

@@ -147,8 +147,8 @@ def rrf_stored(t: Tables) -> DataFrame:
 
 @query(_FUSED)
 def rrf_fusion(t: Tables) -> DataFrame:
-    hits = R.ranked(_docs(t, 30), F.desc("score"), "doc_id").join(t.documents.select("doc_id", R.exact_match(ASK, F.col("text")).alias("exact")), "doc_id")
-    source = hits.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("locator"), "rank", "exact")
+    hits = t.documents.select("doc_id", "text").join(F.broadcast(R.ranked(_docs(t, 30), F.desc("score"), "doc_id")), "doc_id")  # thirty rows
+    source = hits.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("locator"), "rank", R.exact_match(ASK, F.col("text")).alias("exact"))
     wiki = R.ranked(_turns(t, 30), F.desc("score"), "section_id").select(F.concat(F.lit("turn:"), F.col("section_id").cast("string")).alias("locator"), "rank")
     return R.fuse(source, wiki).withColumn("score", F.round("score", 9))
 
@@ -205,7 +205,7 @@ SELECT pos, id AS section_id, taken FROM s WHERE pos > 0""")
 def context_select(t: Tables) -> DataFrame:
     hits = R.ranked(_turns(t, 36), F.desc("score"), "section_id")
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("section_id"), F.col("conv_id").alias("page_id"), F.col("role").alias("source"), T.estimate_tokens("text").alias("tokens"))
-    candidates = hits.join(turns, "section_id").select((F.col("rank") + 1).cast("long").alias("pos"), "section_id", "page_id", "source", "tokens")
+    candidates = turns.join(F.broadcast(hits), "section_id").select((F.col("rank") + 1).cast("long").alias("pos"), "section_id", "page_id", "source", "tokens")
     return C.select_context(candidates, tokens=900).select("pos", "section_id", "taken")
 
 
@@ -224,7 +224,7 @@ def truncation_limit_plus_one(t: Tables) -> DataFrame:
 @query()
 def snippets(t: Tables) -> DataFrame:
     """Sixteen tokens around the query's words for each of the best hits."""
-    hits = _docs(t, 10).join(t.documents.select("doc_id", "text"), "doc_id")
+    hits = t.documents.select("doc_id", "text").join(F.broadcast(_docs(t, 10)), "doc_id")  # ten rows
     return hits.select("doc_id", T.snippet(F.col("text"), F.lit(ASK)).alias("snippet"))
 
 
