@@ -11,6 +11,7 @@ from ..operators import ingest as I
 from ..operators import lifecycle as L
 from ..operators import retrieval as R
 from ..operators import stages as S
+from ..sources.tables import written
 from .search import ASK, _COS, _DOCS, _TURNS, _bm25_sql, _nearest, _stored_docs, _stored_turns
 from .tables import Tables, registry
 
@@ -240,8 +241,8 @@ def _levels(t: Tables) -> DataFrame:
     at = lambda kind, col: F.concat(F.lit(kind), F.col(col).cast("string")).alias("locator")
     lexical = R.ranked(_stored_docs(t, 36), F.desc("score"), "id").select(at("doc:", "id"), "rank")
     vector = R.ranked(_nearest(t), F.desc("score"), "vec_id").select(at("doc:", "vec_id"), "rank")
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), R.exact_match("threat idiot", F.col("text")).alias("exact"))
-    source = turns.join(F.broadcast(R.ranked(_stored_turns(t, 36), F.desc("score"), "id")), "id").select(at("turn:", "id"), "rank", "exact")  # 36 rows
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    source = turns.join(F.broadcast(R.ranked(_stored_turns(t, 36), F.desc("score"), "id")), "id").select(at("turn:", "id"), "rank", R.exact_match("threat idiot", F.col("text")).alias("exact"))  # 36 rows
     return R.fuse_levels(lexical, vector, source)
 
 
@@ -254,10 +255,11 @@ def context_levels(t: Tables) -> DataFrame:
 @query()
 def context_fused(t: Tables) -> DataFrame:
     """The candidates of context_levels that a budget of 900 tokens takes; a turn's page and source are its conversation."""
-    docs = t.documents.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("locator"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("page_id"), "source", T.estimate_tokens(T.excerpt("text")).alias("tokens"))
+    docs = t.documents.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("locator"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("page_id"), "source", "text")
     conversation = F.concat(F.lit("conv:"), F.col("conv_id").cast("string"))
-    turns = t.conversations.select(F.concat(F.lit("turn:"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")).alias("locator"), conversation.alias("page_id"), conversation.alias("source"), T.estimate_tokens(T.excerpt("text")).alias("tokens"))
-    candidates = docs.unionByName(turns).join(F.broadcast(_levels(t)), "locator")  # eighty rows at most
+    turns = t.conversations.select(F.concat(F.lit("turn:"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")).alias("locator"), conversation.alias("page_id"), conversation.alias("source"), "text")
+    levels = written(_levels(t), "levels")
+    candidates = docs.unionByName(turns).join(F.broadcast(levels), "locator").withColumn("tokens", T.estimate_tokens(T.excerpt("text")))  # eighty rows at most
     return C.select_context(candidates.select(F.col("rank").cast("long").alias("pos"), "kind", "locator", "page_id", "source", "tokens"), tokens=900)
 
 
