@@ -66,7 +66,7 @@ class KnowledgeBase:
         if build_id is None:
             return False
         sections = self._indexed(self._table("sections"))
-        drift = retrieval.index_drift(self.spark.read.parquet(f"{self._index(build_id)}/lengths"), sections.select(F.col("section_id").alias("id"))).first()
+        drift = retrieval.index_drift(retrieval.stored_lengths(self.spark, self._index(build_id), dict(sections.dtypes)["section_id"]), sections.select(F.col("section_id").alias("id"))).first()
         if not drift["matches"]:
             remove(self.spark, self._index(build_id))
             retrieval.store_index(sections, "section_id", F.col("words"), self._index(build_id))

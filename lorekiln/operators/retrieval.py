@@ -11,17 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens, words_of
 from ..functions.vectors import cosine, norm
+from ..sources.tables import written
 
 # Fixed values of the ranking functions.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Vectors and queries of a block at most.
 VECTORS, QUERIES = 4096, 512
+#: Rows whose words are counted together.
+LOT = 1000
 
 
 def index_tokens(*columns: Column) -> Column:
@@ -37,22 +41,19 @@ def postings(rows: DataFrame, id_col: str, words: Column) -> tuple[DataFrame, Da
     return exploded.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), lengths
 
 
-def _is(term: str):
-    return lambda word: word == F.lit(term)
-
-
 def bm25(rows: DataFrame, id_col: str, words: Column, query: str, k: int | None = None) -> DataFrame:
     """id, score of rows that hold any word of the query; the best ``k``, ties by id.
 
-    One pass over the rows takes lengths and the query terms' counts together: the terms are
-    literals, so rows without them never leave the scan but as two sums.
+    Rows are tokenised once: their lengths and the query terms' counts, a few numbers for each row, are written.
     """
     spark = rows.sparkSession
     terms = spark.range(1).select(query_terms(F.lit(query), fold=True).alias("t")).first()["t"]
     if not terms:
         return rows.sparkSession.createDataFrame([], f"{id_col} {dict(rows.dtypes)[id_col]}, score double")
     base = rows.select(F.col(id_col).alias("id"), words.alias("words"))
-    counted = base.select("id", F.size("words").cast("long").alias("dl"), *[F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # each word is looked at once; what is left is few
+    base = base.select("id", F.size("words").cast("long").alias("dl"), F.filter("words", lambda w: w.isin(terms)).alias("asked"))
+    counted = written(base.select("id", "dl", *[(F.size("asked") - F.size(F.array_remove("asked", t))).alias(f"tf{i}") for i, t in enumerate(terms)]), "term-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
@@ -95,22 +96,58 @@ def _bucket(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
+#: The bucket of lengths: a row without a term for each id.
+LENGTHS = -1
+#: Ids that an update sends to all postings at most; more are joined by a shuffle.
+TOUCHED = 1_000_000
+
+
+def _counted(rows: DataFrame, id_col: str, words: Column) -> DataFrame:
+    """term, id, tf, dl, and a row without a term for each id. A row's words are counted where it is read, so nothing is shuffled."""
+    kind = dict(rows.dtypes)[id_col]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, LOT):
+                batch = whole.slice(start, LOT)
+                ids, lists = batch.column("id"), batch.column("words")
+                dl = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                codes = lists.flatten().dictionary_encode()
+                pairs, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * max(1, len(codes.dictionary)) + codes.indices.to_numpy(), return_counts=True)
+                row, term = np.divmod(pairs, max(1, len(codes.dictionary)))
+                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(term)).cast(pa.string()), ids.take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(dl[row])], ["term", "id", "tf", "dl"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(dl), pa.string()), ids, pa.array(np.zeros(len(dl), np.int64)), pa.array(dl)], ["term", "id", "tf", "dl"])
+
+    base = rows.select(F.col(id_col).alias("id"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    return base.mapInArrow(part, f"term string, id {kind}, tf long, dl long")
+
+
+def _dealt(posting: DataFrame) -> DataFrame:
+    return posting.select(*_POSTING, F.coalesce(_bucket(F.col("term")), F.lit(LENGTHS)).alias("bucket"))
+
+
 def store_index(rows: DataFrame, id_col: str, words: Column, path: str) -> None:
-    """Write postings (term, id, tf, dl) by bucket, lengths (id, dl), and term frequencies (term, df) by bucket.
+    """Write postings (term, id, tf, dl) by bucket, lengths (id, dl) as a bucket of their own, and a row of statistics.
 
-    ``rows`` are a generation's sections; what a query needs beyond its terms' postings is a row of statistics.
+    ``rows`` are a generation's sections; what a query needs beyond its terms' postings is that row.
     """
-    posting, lengths = postings(rows, id_col, words)
-    _write_index(posting.join(lengths, "id"), lengths, path)
+    _write_postings(_counted(rows, id_col, words), path, "overwrite")
+    _write_statistics(rows.sparkSession, path, dict(rows.dtypes)[id_col])
 
 
-def _write_index(posting: DataFrame, lengths: DataFrame, path: str) -> None:
-    dealt = posting.select(*_POSTING, _bucket(F.col("term")).alias("bucket"))
+def _write_postings(posting: DataFrame, path: str, mode: str) -> None:
     part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
-    dealt.repartition("bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.select("id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    kind = F.lit(dict(posting.dtypes)["id"])
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean"), F.first(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/statistics")
+    _dealt(posting).repartition("bucket", part).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def _write_statistics(spark: SparkSession, path: str, kind: str) -> None:
+    lengths = stored_lengths(spark, path, kind)
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("mean"), F.first(F.lit(kind)).alias("kind")).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def stored_lengths(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """id, dl of a stored index."""
+    return _stored_postings(spark, path, kind).where(F.col("bucket") == LENGTHS).select("id", "dl")
 
 
 def _statistics(spark: SparkSession, path: str) -> Row:
@@ -139,11 +176,16 @@ def update_index(spark: SparkSession, path: str, changed: DataFrame, gone: DataF
 
     Postings of all other rows are carried over; only changed rows are tokenised.
     """
-    fresh, fresh_lengths = postings(changed, id_col, words)
+    kind = _statistics(spark, path)["kind"] or "string"
     touched = gone.select("id").union(changed.select(id_col)).distinct()
-    posting = _stored_postings(spark, path, _statistics(spark, path)["kind"] or "string").join(touched, "id", "left_anti").select(*_POSTING).unionByName(fresh.join(fresh_lengths, "id").select(*_POSTING))
-    lengths = spark.read.parquet(f"{path}/lengths").join(touched, "id", "left_anti").select("id", "dl")
-    _write_index(posting, lengths.unionByName(fresh_lengths), to)
+    few = touched.limit(TOUCHED + 1).count() <= TOUCHED
+    carried = _stored_postings(spark, path, kind).join(F.broadcast(touched) if few else touched, "id", "left_anti").select(*_POSTING, "bucket")
+    if few:  # they lie in their buckets' files already
+        carried.write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/postings")
+    else:
+        _write_postings(carried, to, "overwrite")
+    _write_postings(_counted(changed, id_col, words), to, "append")
+    _write_statistics(spark, to, kind)
 
 
 def index_drift(lengths: DataFrame, active: DataFrame) -> DataFrame:

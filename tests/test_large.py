@@ -103,3 +103,24 @@ def test_best_pages_are_found_without_all_pairs(spark, monkeypatch):
     of_old = {first([x for x in shared if x[0] == o]) for o in old if any(x[0] == o for x in shared)}
     assert found == {x: (shared[x], x in of_new, x in of_old) for x in of_new | of_old}
     assert max(sizes) <= sum(map(len, old.values())) + sum(map(len, new.values())) < len(shared)
+
+
+def test_an_index_shuffles_its_postings_once(spark, tmp_path, monkeypatch):
+    rows = [(1, "a b a Ä"), (2, ""), (3, None), (4, "漢字 b"), (5, "c " * 50)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    words = retrieval.index_tokens(F.col("text"))
+    monkeypatch.setattr(retrieval, "LOT", 2)
+    expected = [("a", 1, 3, 4), ("b", 1, 1, 4), (None, 1, 0, 4), (None, 2, 0, 0), (None, 3, 0, 0), ("漢", 4, 1, 4), ("漢字", 4, 1, 4), ("字", 4, 1, 4), ("b", 4, 1, 4), (None, 4, 0, 4), ("c", 5, 50, 50), (None, 5, 0, 50)]
+    plan = retrieval._counted(docs, "id", words)
+    assert sorted(map(tuple, plan.collect()), key=repr) == sorted(expected, key=repr)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    old, new, wide = (f"file://{tmp_path}/{x}" for x in ("old", "new", "wide"))
+    retrieval.store_index(docs.where("id < 5"), "id", words, old)
+    gone = spark.createDataFrame([(1,)], "id long")
+    retrieval.update_index(spark, old, docs.where("id > 3"), gone, "id", words, new)
+    monkeypatch.setattr(retrieval, "TOUCHED", 0)  # more ids than a broadcast takes
+    retrieval.update_index(spark, old, docs.where("id > 3"), gone, "id", words, wide)
+    for path in (new, wide):
+        found = spark.read.schema("term string, id long, tf long, dl long, bucket int").parquet(f"{path}/postings").drop("bucket")
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted((x for x in expected if x[1] > 1), key=repr)
+        assert retrieval._statistics(spark, path)["n"] == 4 and retrieval._statistics(spark, path)["mean"] == 13.5
