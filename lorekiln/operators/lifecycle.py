@@ -120,9 +120,10 @@ def signature_diff(old: DataFrame, old_links: DataFrame, new: DataFrame, new_lin
 def graph_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of two graphs' nodes or edges that only one has, with ``change``: 'added' or 'removed'. Applied to the first it gives the second."""
     columns = before.columns
-    marked = before.distinct().withColumn("__side", F.lit(-1)).unionByName(after.distinct().withColumn("__side", F.lit(1)))
-    net = marked.groupBy(*columns).agg(F.sum("__side").alias("__side")).where("__side <> 0")
-    return net.select(*columns, F.when(F.col("__side") > 0, "added").otherwise("removed").alias("change"))
+    marked = before.withColumn("__side", F.lit(False)).unionByName(after.withColumn("__side", F.lit(True)))
+    # one aggregation takes repeated rows and both sides
+    net = marked.groupBy(*columns).agg(F.min("__side").alias("__first"), F.max("__side").alias("__last")).where("__first = __last")
+    return net.select(*columns, F.when(F.col("__last"), "added").otherwise("removed").alias("change"))
 
 
 def surviving(pages: DataFrame, obsolete: DataFrame, updated: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lorekiln.functions import substrings
-from lorekiln.operators import evaluation, retrieval, versions
+from lorekiln.operators import evaluation, graph, lifecycle, retrieval, versions
 
 
 def rows_of(frame):
@@ -124,3 +124,18 @@ def test_an_index_shuffles_its_postings_once(spark, tmp_path, monkeypatch):
         found = spark.read.schema("term string, id long, tf long, dl long, bucket int").parquet(f"{path}/postings").drop("bucket")
         assert sorted(map(tuple, found.collect()), key=repr) == sorted((x for x in expected if x[1] > 1), key=repr)
         assert retrieval._statistics(spark, path)["n"] == 4 and retrieval._statistics(spark, path)["mean"] == 13.5
+
+
+def test_a_graph_delta_is_one_aggregation(spark):
+    edges = lambda pairs: spark.createDataFrame(pairs, "a int, b string")
+    delta = lifecycle.graph_delta(edges([(1, "x"), (1, "x"), (2, None), (3, "y")]), edges([(1, "x"), (2, None), (4, "y"), (4, "y")]))
+    assert sorted(map(tuple, delta.collect())) == [(3, "y", "removed"), (4, "y", "added")]
+    assert delta._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_labels_take_no_part_in_counting_pages(spark):
+    pages = spark.createDataFrame([("c", 1, [7, 8, 7]), ("c", 1, [7]), ("c", 2, [7, 9]), ("d", 3, [8])], "category string, page_id int, refs array<int>")
+    found = graph.key_concepts(pages, spark.createDataFrame([(7, "seven"), (8, "eight"), (8, "eight")], "id int, label string"))
+    assert sorted(map(tuple, found.collect())) == [("c", 7, "seven", 2, 1), ("c", 8, "eight", 1, 2), ("d", 8, "eight", 1, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [category#" in plan and not [x for x in plan.splitlines() if "Aggregate [" in x and "label" in x and "page_id" in x]
