@@ -114,8 +114,9 @@ def hubs(links: DataFrame, pages: DataFrame, k: int = HUBS) -> DataFrame:
 
 def key_concepts(pages: DataFrame, labels: DataFrame, k: int = CONCEPTS) -> DataFrame:
     """category, id, label, pages, rank: of each category the labelled nodes on most of its pages."""
-    refs = pages.select("category", "page_id", F.explode("refs").alias("id")).join(labels, "id")
-    counted = refs.groupBy("category", "id", "label").agg(F.countDistinct("page_id").alias("pages"))
+    refs = pages.select("category", "page_id", F.explode("refs").alias("id"))
+    # labels come to counted nodes, as they would widen every row that is counted
+    counted = refs.groupBy("category", "id").agg(F.countDistinct("page_id").alias("pages")).join(labels.select("id", "label").distinct(), "id").select("category", "id", "label", "pages")
     nth = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("pages"), "id"))
     return counted.withColumn("rank", nth).where(F.col("rank") <= k)
 
